@@ -1,0 +1,90 @@
+"""Problem 6: percentiles of very large numeric columns by merging centroid digests.
+
+A digest of a group is a table of centroids (mean, weight, least, most). It is made by sorting the values, mapping each
+value's quantile through a scale function that is steep at both ends, and grouping values with one integer part of it:
+clusters are small in the tails and large in the middle. Digests of days, deliveries or salts are merged by sorting the
+centroids of all and clustering them again by the same function. Everything is windows and aggregates inside the JVM.
+A second pass over the values counts how many lie below each answer, which certifies the rank error.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Size of a digest: about so many centroids. The rank error of one build is at most half of a middle cluster, pi/(4 delta) of the group.
+DELTA = 200
+
+
+def scale(q: Column, delta: int) -> Column:
+    """The scale function delta/(2 pi) asin(2q - 1)."""
+    return F.lit(delta / (2 * math.pi)) * F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * q - 1)))
+
+
+def build(df: DataFrame, keys: list[str], value: str, delta: int = DELTA) -> DataFrame:
+    """keys, cluster, mean, weight, least, most. Null and NaN values are left out; ties and repeated values all count; groups without values have no digest."""
+    clean = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    # equal values are one weighted row after the map-side half of this aggregate
+    weighed = clean.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("weight"))
+    return _cluster(weighed.select(*keys, F.col("v").alias("mean"), "weight", F.col("v").alias("least"), F.col("v").alias("most")), keys, delta)
+
+
+def merge(digests: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
+    """Digests of finer keys -> digests of ``keys``. Merging keeps the total weight; merging empty digests gives none."""
+    return _cluster(digests.select(*keys, "mean", "weight", "least", "most"), keys, delta)
+
+
+def _cluster(points: DataFrame, keys: list[str], delta: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("mean", "least", "most", "weight")
+    below = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum("weight").over(Window.partitionBy(*keys))
+    placed = points.withColumn("q", (below + F.col("weight") / 2) / total).withColumn("cluster", F.floor(scale(F.col("q"), delta)).cast("int"))
+    return placed.groupBy(*keys, "cluster").agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def quantiles(digests: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """keys, prob, estimate, n: linear between the centres of neighbouring centroids, exact least and most at the ends."""
+    w = Window.partitionBy(*keys).orderBy("mean", "cluster")
+    below = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum("weight").over(Window.partitionBy(*keys))
+    at = digests.withColumn("n", total).withColumn("mid", below + F.col("weight") / 2)
+    at = at.withColumn("pmid", F.lag("mid").over(w)).withColumn("pmean", F.lag("mean").over(w)).withColumn("nmid", F.lead("mid").over(w))
+    asked = at.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs)))).withColumn("rank", F.col("prob") * F.col("n"))
+    first, final = F.col("pmid").isNull(), F.col("nmid").isNull()
+    covers = (first | (F.col("rank") >= F.col("pmid"))) & (F.col("rank") < F.col("mid"))
+    share = F.when(first, F.col("rank") / F.col("mid")).otherwise((F.col("rank") - F.col("pmid")) / (F.col("mid") - F.col("pmid")))
+    low = F.when(first, F.col("least")).otherwise(F.col("pmean"))
+    tail = final & (F.col("rank") >= F.col("mid"))
+    tail_share = F.when(F.col("n") > F.col("mid"), (F.col("rank") - F.col("mid")) / (F.col("n") - F.col("mid"))).otherwise(F.lit(0.0))
+    estimate = F.when(tail, F.col("mean") + tail_share * (F.col("most") - F.col("mean"))).otherwise(low + share * (F.col("mean") - low))
+    return asked.where(covers | tail).select(*keys, "prob", estimate.alias("estimate"), F.col("n").cast("bigint").alias("n"))
+
+
+def certify(df: DataFrame, keys: list[str], value: str, answers: DataFrame, salts: int = 8) -> DataFrame:
+    """``answers`` with n_below, n_upto and rank_error: how far prob lies from the share of values below (or up to) the estimate.
+
+    The second pass: equal values are counted map-side, and the answers, a few rows a group, are repeated per salt.
+    """
+    counted = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy(*keys, "v").agg(F.count("*").alias("c")).withColumn("salt", F.pmod(F.hash("v"), F.lit(salts)))
+    probes = answers.groupBy(*keys).agg(F.collect_list(F.struct("prob", "estimate")).alias("probes")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = counted.join(probes, [*keys, "salt"]).select(*keys, "v", "c", F.explode("probes").alias("p"))
+    ranks = hit.groupBy(*keys, F.col("p.prob").alias("prob")).agg(F.sum(F.when(F.col("v") < F.col("p.estimate"), F.col("c")).otherwise(0)).alias("n_below"), F.sum(F.when(F.col("v") <= F.col("p.estimate"), F.col("c")).otherwise(0)).alias("n_upto"))
+    error = F.greatest(F.lit(0.0), F.col("n_below") / F.col("n") - F.col("prob"), F.col("prob") - F.col("n_upto") / F.col("n"))
+    return answers.join(ranks, [*keys, "prob"]).withColumn("rank_error", error)
+
+
+def usable(c: str = "confidence") -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & F.col(c).between(0, 1)
+
+
+def confidence_digests(recognition: DataFrame, delta: int = DELTA, salts: int = 8) -> DataFrame:
+    """Digests of usable confidences per feature_id and salt, ready for ``merge``: a feature with a third of all rows is built in ``salts`` parts."""
+    rows = recognition.where(F.col("feature_id").isNotNull() & usable()).select("feature_id", "confidence", F.pmod(F.hash("result_id"), F.lit(salts)).alias("part"))
+    return build(rows, ["feature_id", "part"], "confidence", delta)
+
+
+def low_median_features(recognition: DataFrame, least_rows: int = 30, below: float = 0.5, delta: int = DELTA) -> DataFrame:
+    merged = merge(confidence_digests(recognition, delta), ["feature_id"], delta)
+    return quantiles(merged, ["feature_id"], [0.5]).where((F.col("n") >= least_rows) & (F.col("estimate") < below)).select("feature_id")
