@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_features(sg.append([df]), a.output_dir, f"{a.level}_{a.call_type}_timing")
     elif a.job == "alignments":
         lines = files.alignments(spark, a.input_dir).withColumnRenamed("call_id", "id")
-        sinks.write_features(features.timing_features(features.alignment_measures(lines), phones=True), a.output_dir, "word_phone_timing", "parquet")
+        sinks.write_features(features.timing_features(features.alignment_measures(lines), phones=True, units={}), a.output_dir, "word_phone_timing", "parquet")
     elif a.job == "lines":
         sinks.write_features(features.confidence(files.confidence_lines(spark, a.input_dir).withColumnRenamed("call_id", "id"), ["id"], "conf"), a.output_dir, "asr_confidence", "parquet")
     else:

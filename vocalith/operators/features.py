@@ -17,6 +17,8 @@ LONG_WORD = 7
 NON_VERBAL = {"laughter": "[laughter]", "noise": "[noise]", "unk": "<unk>"}
 #: Ticks of 100 ns to seconds and milliseconds; frames of 25 ms.
 TICK_S, TICK_MS, FRAME_MS = 1e-7, 1e-4, 25
+#: Units of the measures of recognizer segments, which are counted in whole ticks.
+TICKS = {"segments": TICK_S, "silences": TICK_MS, "words": TICK_MS}
 
 
 # verbosity -----------------------------------------------------------------------------------------------------------
@@ -161,7 +163,7 @@ def non_verbal(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def timing_measures(segments: DataFrame) -> DataFrame:
-    """(id, kind, value) of recognizer segments: ``segments`` s, ``silences`` ms (zeros dropped, overlaps stay negative), ``words`` ms, ``wps``.
+    """(id, kind, value) of recognizer segments, in ticks: ``segments``, ``silences`` (zeros dropped, overlaps stay negative), ``words``; and the rate ``wps`` per second.
 
     Silences run from the segment's start to its first word, between words, and from the last word to the segment's end.
     A segment whose word timing can't be read, or is empty, has no words and no silences. All inside the row, no shuffle.
@@ -171,28 +173,28 @@ def timing_measures(segments: DataFrame) -> DataFrame:
     rows = read.select("id", "offset", "duration", spans.alias("w")).withColumn("n", F.size("w"))
     starts = F.expr("concat(transform(w, x -> x.o), array(offset + duration))")
     ends = F.expr("concat(array(offset), transform(w, x -> x.o + x.d))")
-    gaps = F.when(F.col("n") > 0, F.zip_with(starts, ends, lambda a, b: (a - b) * TICK_MS))
+    gaps = F.when(F.col("n") > 0, F.zip_with(starts, ends, lambda a, b: (a - b).cast("double")))
     seconds = F.col("duration") * TICK_S
     measure = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"))
     every = F.concat(
-        F.array(measure("segments", seconds), measure("wps", F.when(F.col("n") > 0, ratio(F.col("n"), seconds)))),
-        F.transform("w", lambda x: measure("words", x.d * TICK_MS)),
+        F.array(measure("segments", F.col("duration")), measure("wps", F.when(F.col("n") > 0, ratio(F.col("n"), seconds)))),
+        F.transform("w", lambda x: measure("words", x.d)),
         F.transform(F.coalesce(gaps, F.array().cast("array<double>")), lambda g: measure("silences", F.when(g != 0, g))),
     )
     return rows.select("id", F.explode(every).alias("m")).select("id", "m.kind", "m.value").where("value is not null")
 
 
-def timing_features(measures: DataFrame, total: DataFrame | None = None, phones: bool = False, total_key: str = "id") -> DataFrame:
-    """One wide row an id: describe-5 of each kind, totals and rates; with ``total`` (id, duration_s) also shares of the call."""
+def timing_features(measures: DataFrame, total: DataFrame | None = None, phones: bool = False, total_key: str = "id", units: dict[str, float] = TICKS) -> DataFrame:
+    """One wide row an id: describe-5 of each kind (s, ms, ms), totals and rates; with ``total`` (id, duration_s) also shares of the call. ``units`` turns measures into seconds and milliseconds."""
     kind, v = F.col("kind"), F.col("value")
     kinds = ["segments", "silences", "words", "wps"] + (["phones", "pps"] if phones else [])
-    aggs = [c for k in kinds for c in describe5(v, k, when=kind == k)]
+    aggs = [c for k in kinds for c in describe5(v, k, when=kind == k, unit=units.get(k))]
     count = lambda k: F.count(F.when(kind == k, 1))
-    total_of = lambda k, unit=1.0: F.coalesce(F.sum(F.when(kind == k, v)), F.lit(0.0)) * unit
-    spoken, silent = total_of("segments"), total_of("silences", 1e-3)
+    total_of = lambda k, unit: F.coalesce(F.sum(F.when(kind == k, v)), F.lit(0.0)) * (units.get(k, 1.0) * unit)
+    spoken, silent = total_of("segments", 1.0), total_of("silences", 1e-3)
     aggs += [silent.alias("sil_duration"), spoken.alias("spk_duration"), ratio(spoken, silent).alias("spk_sil_ratio"), ratio(count("silences"), spoken).alias("sps"), ratio(count("words"), spoken).alias("wps")]
     aggs += [count("silences").alias("sil_count"), count("segments").alias("segment_count"), count("words").alias("word_count")]
-    aggs += [F.count(F.when((kind == "segments") & (v <= 1), 1)).alias("short_utt_count")]
+    aggs += [F.count(F.when((kind == "segments") & (v * units.get("segments", 1.0) <= 1), 1)).alias("short_utt_count")]
     if phones:
         aggs += [ratio(count("phones"), spoken).alias("pps"), count("phones").alias("phone_count")]
     wide = measures.groupBy("id").agg(*aggs)

@@ -25,7 +25,7 @@ PHRASE_THRESHOLD = 1.5
 
 def r6(df: DataFrame) -> DataFrame:
     """Doubles to six places: sums differ in their last digits with the order of summation."""
-    return df.select(*(F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema))
+    return df.select(*((F.round(f.name, 6) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema))
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +153,7 @@ _ALIGNMENT = [
 
 def kaldi_timing(spark, sf):
     lines = spark.createDataFrame([(c, s, i, x) for c, s, ls in _ALIGNMENT for i, x in enumerate(ls)], "id string, seg string, i int, line string")
-    return r6(features.timing_features(features.alignment_measures(lines), phones=True))
+    return r6(features.timing_features(features.alignment_measures(lines), phones=True, units={}))
 
 
 def _word_scores(spark, sf):
@@ -314,13 +314,13 @@ def _sql_sentences(c: str) -> str:
     return rf"string_split(regexp_replace({c}, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1))"
 
 
-def _d5(v: str, p: str, names=("max", "min", "mean", "med", "std")) -> str:
+def _d5(v: str, p: str, names=("max", "min", "mean", "med", "std"), unit: float | None = None) -> str:
     f = (f"max({v})", f"min({v})", f"avg({v})", f"quantile_cont({v}, 0.5)", f"stddev_pop({v})")
-    return ", ".join(f"round(cast({x} as double), 6) as {p}_{n}" for x, n in zip(f, names))
+    return ", ".join(f"round(cast({x} as double){'' if unit is None else f' * cast({unit!r} as double)'}, 6) + 0.0 as {p}_{n}" for x, n in zip(f, names))
 
 
 def _ratio(a: str, b: str) -> str:
-    return f"round(cast({a} as double) / nullif(cast({b} as double), 0), 6)"
+    return f"round(cast({a} as double) / nullif(cast({b} as double), 0), 6) + 0.0"
 
 
 _SEG = f"""seg as (select {sql_key("audio_file_id")} as id, coalesce(seg_order, segment_number, -1) as ord, result_id as tie, text, text_basic, confidence, "offset" as off, duration, word_timing from recognition_results where {sql_key("audio_file_id")} is not null)"""
@@ -420,5 +420,65 @@ SQL: dict[str, str] = {
  select * from (select bi.a, bi.b, n_ab, round((n_ab - 5) * cast(v as double) / (x.n * y.n), 6) as score from bi join uni x on bi.a = x.w join uni y on bi.b = y.w, v where n_ab > 5) where score > {PHRASE_THRESHOLD}""",
 }
 for _level, _cols, _join in (("", "call_id", ""), ("_day", "subject_id, day", "join meta using (call_id)"), ("_subject", "subject_id", "join meta using (call_id)"), ("_segment", "segment_id", "")):
-    _lines = f"""ln as (select {sql_key("call_id")} as call_id, string_split(conf_scores, ' ')[1] as segment_id, try_cast(string_split(conf_scores, ' ')[6] as double) as conf from conf_sym where len(string_split(conf_scores, ' ')) = 6)"""
+    _lines = f"""ln as (select {sql_key("call_id")} as call_id, string_split(conf_scores, ' ')[1] as segment_id, case when regexp_matches(string_split(conf_scores, ' ')[6], '{files.NUMBER}') then try_cast(string_split(conf_scores, ' ')[6] as double) end as conf from conf_sym where len(string_split(conf_scores, ' ')) = 6)"""
     SQL[f"kaldi_confidence{_level}"] = f"with {_META}, {_lines} select {_cols}, {_d5('conf', 'conf')} from ln {_join} where call_id is not null and conf is not null and not isnan(conf) group by {_cols}"
+
+_MEASURES = f"""src as (select id, off, duration, word_timing from seg), lit as (select id, off, duration, list_transform(coalesce(j, cast([] as json[])), lambda r: {{'o': cast(r->>'$.Offset' as bigint), 'd': cast(r->>'$.Duration' as bigint)}}) as w from {SQL_JSON.format(rows="src")}),
+ m as (select id, 'segments' as kind, cast(duration as double) as value from lit where duration is not null
+ union all select id, 'wps', cast(len(w) as double) / nullif(duration * 1e-7, 0) from lit where len(w) > 0 and duration is not null and duration <> 0
+ union all select id, 'words', unnest(list_transform(w, lambda x: cast(x.d as double))) from lit
+ union all select id, 'silences', g from (select id, unnest(list_transform(range(1, len(w) + 2), lambda i: (case when i <= len(w) then w[i].o else off + duration end - case when i = 1 then off else w[i - 1].o + w[i - 1].d end)::double)) as g from lit where len(w) > 0) where g <> 0)"""
+
+
+def _timing_sql(total: str) -> str:
+    d5 = ", ".join(_d5(f"case when kind = '{k}' then value end", k, unit=features.TICKS.get(k)) for k in ("segments", "silences", "words", "wps"))
+    n = lambda k: f"count(case when kind = '{k}' then 1 end)"
+    s = lambda k: f"coalesce(sum(case when kind = '{k}' then value end), 0)"
+    spoken, silent = f"({s('segments')} * cast(1e-7 as double))", f"({s('silences')} * cast(1e-7 as double))"
+    return f"""f as (select id, {d5}, {silent} as sil, {spoken} as spk, {n("silences")} as sil_count, {n("segments")} as segment_count, {n("words")} as word_count, count(case when kind = 'segments' and value <= 1e7 then 1 end) as short_utt_count from m group by id),
+ timing as (select f.* exclude (sil, spk), round(sil, 6) as sil_duration, round(spk, 6) as spk_duration, {_ratio("spk", "sil")} as spk_sil_ratio, {_ratio("sil_count", "spk")} as sps, {_ratio("word_count", "spk")} as wps, round(coalesce(t.duration_s, 0), 6) as total_duration,
+ {_ratio("spk", "coalesce(t.duration_s, 0)")} as spk_ratio, {_ratio("sil", "coalesce(t.duration_s, 0)")} as sil_ratio, {_ratio("segment_count", "coalesce(t.duration_s, 0) / 60")} as segs_per_min, {_ratio("short_utt_count", "coalesce(t.duration_s, 0) / 60")} as short_utts_per_min
+ from f left join {total} t on f.id = t.id)"""
+
+
+_CALL_TOTAL = "(select call_id as id, duration_s from dur)"
+_DAY_TOTAL = "(select concat_ws('_', subject_id, day) as id, sum(duration_s) as duration_s from meta join dur using (call_id) group by 1)"
+_BY_DAY = f"seg0 as (select * from seg), {_META}"
+_ACTIVITY = ", ".join(features.CALL_ACTIVITY)
+_SEG_DAY = _SEG.replace("seg as (select", "seg1 as (select", 1) + f", {_META}, seg as (select concat_ws('_', subject_id, day) as id, off, duration, word_timing from seg1 join meta on seg1.id = meta.call_id)"
+SQL["ms_timing"] = f"with {_SEG}, {_DUR}, {_MEASURES}, {_timing_sql(_CALL_TOTAL)} select * from timing"
+SQL["call_activity"] = f"with {_SEG}, {_DUR}, {_MEASURES}, {_timing_sql(_CALL_TOTAL)} select id, {_ACTIVITY} from timing"
+SQL["ms_timing_day"] = f"with {_SEG_DAY}, {_DUR}, {_MEASURES}, {_timing_sql(_DAY_TOTAL)} select * from timing"
+SQL["call_activity_split"] = f"with {_SEG_DAY}, {_DUR}, {_MEASURES}, {_timing_sql(_DAY_TOTAL)} select id, {_ACTIVITY}, regexp_replace(id, '_[^_]*$', '') as subject_id, regexp_extract(id, '([^_]*)$', 1) as date from timing"
+
+
+def _kaldi_sql() -> str:
+    rows = ", ".join("('{}', '{}', {}, '{}')".format(c, s, i, x) for c, s, ls in _ALIGNMENT for i, x in enumerate(ls))
+    d5 = ", ".join(_d5(f"case when kind = '{k}' then value end", k) for k in ("segments", "silences", "words", "wps", "phones", "pps"))
+    n = lambda k: f"count(case when kind = '{k}' then 1 end)"
+    s = lambda k: f"coalesce(sum(case when kind = '{k}' then value end), 0)"
+    return f"""with raw(id, seg, i, line) as (values {rows}), r as (select id, seg, i, cast(f[1] as bigint) as s, cast(f[2] as bigint) as e, f[5] as w, len(f) = 5 as opens from (select *, string_split(line, ' ') as f from raw)),
+ l as (select id, seg, arg_max(e, i) as last from r group by id, seg), o as (select r.*, last, lead(s) over (partition by r.id, r.seg order by i) as nxt from r join l on r.id = l.id and r.seg = l.seg where opens),
+ words as (select id, seg, (coalesce(nxt, last) - s) * 25 as v from o where w not in ('sil', '[noise]', '[laughter]')), phones as (select id, seg, (e - s) * 25 as v from r where not (opens and coalesce(w, '') in ('sil', '[noise]', '[laughter]'))),
+ rates as (select l.id, l.seg, last * 0.025 as sec, (select count(*) from words where words.seg = l.seg) as nw, (select count(*) from phones where phones.seg = l.seg) as np from l),
+ m(id, kind, value) as (select id, 'words', cast(v as double) from words union all select id, 'phones', v from phones union all select id, 'silences', (e - s) * 25 from o where w = 'sil'
+ union all select id, 'segments', sec from rates where nw > 0 union all select id, 'wps', nw / nullif(sec, 0) from rates where nw > 0 union all select id, 'pps', np / nullif(sec, 0) from rates where nw > 0)
+ select id, {d5}, round({s("silences")} * 1e-3, 6) as sil_duration, round({s("segments")}, 6) as spk_duration, {_ratio(s("segments"), f"({s('silences')} * 1e-3)")} as spk_sil_ratio, {_ratio(n("silences"), s("segments"))} as sps, {_ratio(n("words"), s("segments"))} as wps,
+ {n("silences")} as sil_count, {n("segments")} as segment_count, {n("words")} as word_count, count(case when kind = 'segments' and value <= 1 then 1 end) as short_utt_count, {_ratio(n("phones"), s("segments"))} as pps, {n("phones")} as phone_count from m group by id"""
+
+
+SQL["kaldi_timing"] = _kaldi_sql()
+
+
+def _liwc_sql() -> str:
+    lex = ", ".join("('{}', {}, '{}')".format(p.rstrip("*"), "true" if p.endswith("*") else "false", c) for p, c in LEXICON)
+    cats = sorted({c for _, c in LEXICON})
+    sums = ", ".join(f"sum(case when category = '{c}' then c end) as {c}" for c in cats)
+    return f"""with {_SENT}, lex(pattern, is_prefix, category) as (values {lex}), w as (select id, string_split(s, ' ') as ws from sent), n as (select id, sum(len(ws)) as n from w group by id),
+ g as (select id, g, count(*) as c from (select id, unnest(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) as g from w) group by id, g),
+ voc as (select distinct g from g), hits as (select g, category, case when is_prefix then length(pattern) end as len from voc join lex on (not is_prefix and g = pattern) or (is_prefix and starts_with(g, pattern))),
+ best as (select g, min(len) as best from hits group by g), kept as (select distinct hits.g, category from hits join best on hits.g = best.g where best is null or len = best),
+ s as (select id, {sums} from g join kept on g.g = kept.g group by id) select n.id, {", ".join(f"{_ratio(f'coalesce(s.{c}, 0)', 'n')} as {c}_liwc" for c in cats)} from n left join s on n.id = s.id"""
+
+
+SQL["liwc_fractions"] = _liwc_sql()

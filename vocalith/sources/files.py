@@ -13,6 +13,8 @@ RESULTS = T.StructType(
         T.StructField("text", T.StringType()), T.StructField("text_basic", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("offset", T.LongType()), T.StructField("duration", T.LongType()), T.StructField("word_timing", T.StringType()),
     ]
 )
+#: A decimal number, with or without exponent; nothing else that a cast would take.
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
 
 
@@ -64,7 +66,7 @@ def parse_confidence(lines: DataFrame) -> DataFrame:
     """Rows with ``f`` (fields of a line) -> segment_id, start_ms, end_ms, conf; what can't be read is null."""
     part = lambda i: F.try_element_at(F.split("segment_id", "_"), F.lit(i)).try_cast("bigint")
     keep = [c for c in lines.columns if c != "f"]
-    return lines.select(*keep, F.try_element_at("f", F.lit(1)).alias("segment_id"), F.try_element_at("f", F.lit(6)).try_cast("double").alias("conf")).withColumn("start_ms", part(3)).withColumn("end_ms", part(4))
+    return lines.select(*keep, F.try_element_at("f", F.lit(1)).alias("segment_id"), F.when(F.try_element_at("f", F.lit(6)).rlike(NUMBER), F.try_element_at("f", F.lit(6)).try_cast("double")).alias("conf")).withColumn("start_ms", part(3)).withColumn("end_ms", part(4))
 
 
 def alignments(spark: SparkSession, root: str, name: str = "word_phone_ali_timing.txt") -> DataFrame:
