@@ -58,10 +58,13 @@ def _split_records(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_record(x) for x in lines], columns=["closed", "fields"])
 
 
+_split_once = _split_records.asNondeterministic()  # else a filter on its result would run it twice
+
+
 def raw_records(df: DataFrame, row_id: str = "raw_id", line: str = "line") -> DataFrame:
     """row_id, structural ``reason`` (null if sound) and the record's ``fields``. A null line has one empty field."""
     return (
-        df.select(F.col(row_id).alias("row_id"), _split_records(F.coalesce(line, F.lit(""))).alias("r"))
+        df.select(F.col(row_id).alias("row_id"), _split_once(F.coalesce(line, F.lit(""))).alias("r"))
         .select("row_id", F.col("r.closed").alias("closed"), F.col("r.fields").alias("fields"))
         .withColumn("reason", F.when(~F.col("closed"), "quoting").when(F.size("fields") != len(RAW_FIELDS), "column_count"))
         .drop("closed")
@@ -73,9 +76,14 @@ def _cells(df: DataFrame, table: str, **kinds: Column) -> DataFrame:
     return df.select(F.lit(table).alias("table_name"), "row_id", F.explode(pairs).alias("c")).select("table_name", "row_id", "c.kind", "c.value").where(F.col("value").isNotNull())
 
 
-def invalid_values(values: DataFrame) -> DataFrame:
+def _only(df: DataFrame, reason: Column, *keep: str) -> DataFrame:
+    """Rows with a reason. Made as a generator, through which no filter is pushed: a pushed one would repeat the cast, and before the values are made distinct."""
+    found = F.filter(F.array(F.struct(reason.alias("reason"))), lambda x: x.reason.isNotNull())
+    return df.select(*keep, F.explode(found).alias("x")).select(*keep, "x.reason")
+
+
+def invalid_plain(values: DataFrame) -> DataFrame:
     """(kind, value), each once -> those that can't be cast: (kind, value, reason)."""
-    plain = values.where(~F.col("kind").startswith("words"))
     segment = F.split("value", "_")
     first, last = F.expr("try_cast(element_at(split(value, '_'), -2) as decimal(38,0))"), F.expr("try_cast(element_at(split(value, '_'), -1) as decimal(38,0))")
     ok = (
@@ -83,17 +91,22 @@ def invalid_values(values: DataFrame) -> DataFrame:
         .when(F.col("kind") == "unit", F.col("value").rlike(_NUMBER) & F.coalesce(F.col("value").try_cast("double").between(0, 1), F.lit(False)))
         .when(F.col("kind") == "segment", (F.size(segment) == 4) & F.col("value").rlike(r"_[0-9]+_[0-9]+$") & F.coalesce(first < last, F.lit(False)))
     )
-    bad = plain.where(~ok).select("kind", "value", F.lit("value").alias("reason"))
-    words = with_word_list(values.where(F.col("kind").startswith("words") & ~((F.col("kind") == "words_or_empty") & (F.trim("value") == ""))), "value")
-    wrong = words.select("kind", "value", F.when(F.col("kind") == "words", F.col("word_reason")).when(F.col("word_reason").isNotNull(), F.lit("value")).alias("reason")).where("reason is not null")
-    return bad.unionByName(wrong)
+    return _only(values, F.when(~ok, "value"), "kind", "value")
+
+
+def invalid_words(values: DataFrame) -> DataFrame:
+    """The same for word timings; kind ``words_or_empty`` may be blank, and what is wrong with it is a wrong value of its record."""
+    blank = (F.col("kind") == "words_or_empty") & (F.trim("value") == "")
+    read = with_word_list(values, "value")
+    return _only(read, F.when(blank, None).when(F.col("kind") == "words", F.col("word_reason")).when(F.col("word_reason").isNotNull(), F.lit("value")), "kind", "value")
 
 
-def reject_cells(cells: DataFrame, salts: int = 8) -> DataFrame:
+def reject_cells(plain: DataFrame, words: DataFrame, salts: int = 8) -> DataFrame:
     """Cells (table_name, row_id, kind, value) -> (table_name, row_id, reason) of those whose value is in the dictionary."""
-    wrong = invalid_values(cells.select("kind", "value").distinct()).select("kind", F.md5("value").alias("digest"), "reason", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    keyed = cells.select("table_name", "row_id", "kind", F.md5("value").alias("digest"), F.pmod(F.hash("table_name", "row_id"), F.lit(salts)).alias("salt"))
-    return keyed.join(wrong, ["kind", "digest", "salt"]).select("table_name", "row_id", "reason")
+    wrong = invalid_plain(plain.select("kind", "value").distinct()).unionByName(invalid_words(words.select("kind", "value").distinct()))
+    keyed = wrong.select("kind", F.md5("value").alias("digest"), "reason", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    cells = plain.unionByName(words).select("table_name", "row_id", "kind", F.md5("value").alias("digest"), F.pmod(F.hash("table_name", "row_id"), F.lit(salts)).alias("salt"))
+    return cells.join(keyed, ["kind", "digest", "salt"]).select("table_name", "row_id", "reason")
 
 
 def rejects(recognition: DataFrame, conf_sym: DataFrame, raw: DataFrame, salts: int = 8) -> DataFrame:
@@ -102,7 +115,7 @@ def rejects(recognition: DataFrame, conf_sym: DataFrame, raw: DataFrame, salts:
     Null word_timing and null conf_scores state nothing to parse: the first is no reject, the second has not six fields.
     Extra columns are ignored; empty tables give no rows.
     """
-    words = _cells(recognition.select(F.col("result_id").alias("row_id"), "word_timing"), "recognition_results", words=F.col("word_timing"))
+    timings = _cells(recognition.select(F.col("result_id").alias("row_id"), "word_timing"), "recognition_results", words=F.col("word_timing"))
     parts = F.split(F.coalesce("conf_scores", F.lit("")), " ")
     lines = conf_sym.select(F.col("line_id").alias("row_id"), parts.alias("p"))
     line_count = lines.where(F.size("p") != 6).select(F.lit("conf_sym").alias("table_name"), "row_id", F.lit("column_count").alias("reason"))
@@ -110,8 +123,10 @@ def rejects(recognition: DataFrame, conf_sym: DataFrame, raw: DataFrame, salts:
     records = raw_records(raw)
     structural = records.where("reason is not null").select(F.lit("raw_results").alias("table_name"), "row_id", "reason")
     sound = records.where("reason is null")
-    record_cells = _cells(sound, "raw_results", **{f"{kind}__{name}": F.col("fields")[RAW_FIELDS.index(name)] for name, kind in RAW_KINDS.items()})
-    values = reject_cells(reduce(DataFrame.unionByName, (words, line_cells, record_cells)), salts)
+    fields = {f"{kind}__{name}": F.col("fields")[RAW_FIELDS.index(name)] for name, kind in RAW_KINDS.items()}
+    words = {k: v for k, v in fields.items() if k.startswith("words")}
+    plain = line_cells.unionByName(_cells(sound, "raw_results", **{k: v for k, v in fields.items() if k not in words}))
+    values = reject_cells(plain, timings.unionByName(_cells(sound, "raw_results", **words)), salts)
     rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
     found = reduce(DataFrame.unionByName, (line_count, structural, values))
     return found.groupBy("table_name", "row_id").agg(F.min_by("reason", rank).alias("reason"))
