@@ -71,7 +71,7 @@ def parse_confidence(lines: DataFrame) -> DataFrame:
 
 def alignments(spark: SparkSession, root: str, name: str = "word_phone_ali_timing.txt") -> DataFrame:
     """(call_id, seg, start_ms, end_ms, i, line) of <root>/<call_id>/<name>; blocks start with a quote at a line's start."""
-    files = spark.read.option("wholetext", True).text(f"{root}/*/{name}").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("call_id"), "value")
+    files = spark.read.text(f"{root}/*/{name}", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("call_id"), "value")
     return parse_alignments(files)
 
 
