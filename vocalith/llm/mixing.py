@@ -94,4 +94,4 @@ def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame, total: fl
     joined = plan.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # a row a source
     clamped = F.col("wanted_tokens") >= F.col("n_tokens") * F.col("max_repeats")
-    return joined.select("source", "target_share", (F.col("mixed_tokens") / whole).alias("actual_share"), "mixed_tokens", F.try_divide("mixed_tokens", "n_tokens").alias("epochs"), "max_repeats", clamped.alias("clamped"))
+    return joined.select("source", "target_share", F.coalesce(F.try_divide("mixed_tokens", whole), F.lit(0.0)).alias("actual_share"), "mixed_tokens", F.try_divide("mixed_tokens", "n_tokens").alias("epochs"), "max_repeats", clamped.alias("clamped"))
