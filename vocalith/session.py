@@ -51,3 +51,9 @@ def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: rows of a few large files over at least as many tasks as a shuffle has. A table that has as many splits already is left as it is."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the shared checkpoint folder: what is costly to make is made once and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
