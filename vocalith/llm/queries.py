@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.llm import mixing, packing, sentences, tokens
-from vocalith.session import spread, table
+from vocalith.session import cut_lineage, spread, table
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.sized(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), "doc_id", "source")
+    """Texts are tokenised once; their sizes are a narrow table."""
+    return cut_lineage(tokens.sized(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), "doc_id", "source"))
 
 
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +27,8 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix_report(p8_mix(spark, sf), _sized(spark, sf), table(spark, sf, "source_targets"))
+    sized, targets = _sized(spark, sf), table(spark, sf, "source_targets")
+    return mixing.mix_report(mixing.mix(sized, targets), sized, targets)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
