@@ -84,8 +84,11 @@ _plan_type = T.StructType([T.StructField(n, T.LongType()) for n in ("capacity_id
 
 def pieces_of(sized: DataFrame, capacities: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(capacity_id, capacity_tokens, doc_id, piece_no, start_token, size): a text is one piece unless it alone is larger than a container."""
-    caps = F.broadcast(capacities.select("capacity_id", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).where("capacity_tokens > 0"))  # a fixed list of sizes
-    each = sized.select(F.col(doc_id).alias("doc_id"), "n_tokens").join(caps)
+    sizes = capacities.select("capacity_id", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).where("capacity_tokens > 0").collect()  # a fixed list
+    if not sizes:
+        return sized.sparkSession.createDataFrame([], "capacity_id int, capacity_tokens bigint, doc_id bigint, piece_no bigint, start_token bigint, size bigint")
+    caps = F.array(*(F.struct(F.lit(r.capacity_id).alias("capacity_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity_tokens")) for r in sizes))
+    each = sized.select(F.col(doc_id).alias("doc_id"), "n_tokens", F.explode(caps).alias("c")).select("doc_id", "n_tokens", "c.*")
     cut = each.withColumn("piece_no", F.explode(F.expr("sequence(0, greatest(0, (n_tokens - 1) div capacity_tokens))")))
     start = F.col("piece_no") * F.col("capacity_tokens")
     return cut.select("capacity_id", "capacity_tokens", "doc_id", F.col("piece_no").cast("bigint").alias("piece_no"), start.cast("bigint").alias("start_token"), F.least(F.col("capacity_tokens"), F.col("n_tokens") - start).cast("bigint").alias("size"))
