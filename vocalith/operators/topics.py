@@ -31,9 +31,9 @@ def bag_of_words(rows: DataFrame, tokens: str = "ws", key: str = "id") -> DataFr
 
 def trim_vocabulary(bag: DataFrame, least_docs: int = 5, most_share: float = 0.6, keep: int = 100_000, key: str = "id") -> DataFrame:
     """Words in at least ``least_docs`` documents and at most ``most_share`` of them; the ``keep`` most frequent of these."""
-    n = bag.agg(F.countDistinct(key).alias("n"))
+    n = bag.agg(F.countDistinct(key)).scalar()
     df = bag.groupBy("word").agg(F.count("*").alias("df"))
-    kept = df.join(F.broadcast(n)).where((F.col("df") >= least_docs) & (F.col("df") <= most_share * F.col("n"))).orderBy(F.desc("df"), "word").limit(keep)
+    kept = df.where((F.col("df") >= least_docs) & (F.col("df") <= most_share * n)).orderBy(F.desc("df"), "word").limit(keep)
     return bag.join(kept.select("word"), "word", "left_semi")
 
 
@@ -42,10 +42,10 @@ def phrases(rows: DataFrame, threshold: float = 10.0, min_count: int = 5, tokens
     single = rows.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     near = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.struct(F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + 1).alias("b"))))
     pair = rows.select(F.explode(near).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
-    size = single.agg(F.count("*").alias("x")).join(pair.agg(F.count("*").alias("y"))).select((F.col("x") + F.col("y")).alias("v"))
+    size = single.agg(F.count("*")).scalar() + pair.agg(F.count("*")).scalar()
     frequent = pair.where(F.col("n_ab") > min_count)
-    counted = frequent.join(single.toDF("a", "n_a"), "a").join(single.toDF("b", "n_b"), "b").join(F.broadcast(size))
-    score = (F.col("n_ab") - min_count) * F.col("v") / (F.col("n_a") * F.col("n_b"))
+    counted = frequent.join(single.toDF("a", "n_a"), "a").join(single.toDF("b", "n_b"), "b")
+    score = (F.col("n_ab") - min_count) * size / (F.col("n_a") * F.col("n_b"))
     return counted.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
@@ -95,11 +95,11 @@ def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
     """(topic, npmi): mean normalised pointwise mutual information of a topic's words over documents. Pairs that never meet count -1."""
     words = topics.select("word").distinct()
     seen = bag.join(F.broadcast(words), "word", "left_semi").select(key, "word").distinct()  # a few words a topic
-    n = bag.agg(F.countDistinct(key).alias("n"))
+    n = bag.agg(F.countDistinct(key)).scalar()
     single = seen.groupBy("word").agg(F.count("*").alias("c"))
     asked = topics.toDF("topic", "r1", "w1", "x1").drop("x1").join(topics.toDF("topic", "r2", "w2", "x2").drop("x2"), "topic").where("r1 < r2")
     met = seen.toDF(key, "w1").join(seen.toDF(key, "w2"), key).where("w1 <> w2").groupBy("w1", "w2").agg(F.count("*").alias("c12"))
-    full = asked.join(met, ["w1", "w2"], "left").join(single.toDF("w1", "c1"), "w1").join(single.toDF("w2", "c2"), "w2").join(F.broadcast(n))
+    full = asked.join(met, ["w1", "w2"], "left").join(single.toDF("w1", "c1"), "w1").join(single.toDF("w2", "c2"), "w2").withColumn("n", n)
     p12 = F.col("c12") / F.col("n")
     npmi = F.when(F.col("c12").isNull(), -1.0).when(F.col("c12") == F.col("n"), 1.0).otherwise(F.ln(p12 * F.col("n") * F.col("n") / (F.col("c1") * F.col("c2"))) / -F.ln(p12))
     return full.groupBy("topic").agg(F.avg(npmi).alias("npmi"))

@@ -176,6 +176,11 @@ def kaldi_confidence_subject(spark, sf):
     return r6(features.confidence(scores, sg.LEVEL_KEYS["subject"], "conf"))
 
 
+def kaldi_confidence_week(spark, sf):
+    meta = _metadata(spark, sf).select("call_id", "subject_id", F.date_format(F.date_trunc("week", F.col("day").cast("date")), "yyyy-MM-dd").alias("week"))
+    return r6(features.confidence(_word_scores(spark, sf).join(meta, "call_id"), sg.LEVEL_KEYS["week"], "conf"))
+
+
 def kaldi_confidence_segment(spark, sf):
     return r6(features.confidence(_word_scores(spark, sf), sg.LEVEL_KEYS["segment"], "conf"))
 
@@ -290,7 +295,7 @@ QUERIES = {
     for f in (
         verbosity_word_stats, verbosity_syllables, mattr, honore, honore_by_feature, clean_text, sentence_split, liwc_fractions, pos_from_tags, pos_by_call,
         graph_counts, graph_loops, graph_connectivity, graph_features, non_verbal_ratios,
-        ms_timing, ms_timing_day, call_activity, call_activity_split, kaldi_timing, kaldi_confidence, kaldi_confidence_day, kaldi_confidence_subject, kaldi_confidence_segment, confidence_stats, confidence_by_feature, describe5_lineitem,
+        ms_timing, ms_timing_day, call_activity, call_activity_split, kaldi_timing, kaldi_confidence, kaldi_confidence_day, kaldi_confidence_week, kaldi_confidence_subject, kaldi_confidence_segment, confidence_stats, confidence_by_feature, describe5_lineitem,
         level_call, level_day, call_type_filter, call_durations,
         hypothesis_mean, stopword_filter, sound_filter, min_words_filter, bag_of_words, vocab_trim, phrase_scores, phrase_apply, topics_lda, topic_coherence, topic_sweep,
     )
@@ -419,7 +424,7 @@ SQL: dict[str, str] = {
  bi as (select p.a as a, p.b as b, count(*) as n_ab from (select unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) as p from tok where len(ws) > 1) group by all), v as (select (select count(*) from uni) + (select count(*) from bi) as v)
  select * from (select bi.a, bi.b, n_ab, round((n_ab - 5) * cast(v as double) / (x.n * y.n), 6) as score from bi join uni x on bi.a = x.w join uni y on bi.b = y.w, v where n_ab > 5) where score > {PHRASE_THRESHOLD}""",
 }
-for _level, _cols, _join in (("", "call_id", ""), ("_day", "subject_id, day", "join meta using (call_id)"), ("_subject", "subject_id", "join meta using (call_id)"), ("_segment", "segment_id", "")):
+for _level, _cols, _join in (("", "call_id", ""), ("_day", "subject_id, day", "join meta using (call_id)"), ("_week", "subject_id, week", "join (select *, strftime(date_trunc('week', cast(day as date)), '%Y-%m-%d') as week from meta) using (call_id)"), ("_subject", "subject_id", "join meta using (call_id)"), ("_segment", "segment_id", "")):
     _lines = f"""ln as (select {sql_key("call_id")} as call_id, string_split(conf_scores, ' ')[1] as segment_id, case when regexp_matches(string_split(conf_scores, ' ')[6], '{files.NUMBER}') then try_cast(string_split(conf_scores, ' ')[6] as double) end as conf from conf_sym where len(string_split(conf_scores, ' ')) = 6)"""
     SQL[f"kaldi_confidence{_level}"] = f"with {_META}, {_lines} select {_cols}, {_d5('conf', 'conf')} from ln {_join} where call_id is not null and conf is not null and not isnan(conf) group by {_cols}"
 
@@ -482,3 +487,4 @@ def _liwc_sql() -> str:
 
 
 SQL["liwc_fractions"] = _liwc_sql()
+SQL["pos_by_call"] = _pos_sql(f"{_SENT}, cased as (select id, case when s = lower(s) and s <> upper(s) then regexp_replace(upper(s[1]) || s[2:], '\\bi\\b', 'I', 'g') else s end as s from sent),", "cased", "s")
