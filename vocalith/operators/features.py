@@ -95,12 +95,16 @@ def liwc(sentences: DataFrame, lexicon: DataFrame, categories: list[str]) -> Dat
     # equal tokens of an id are one row after the map-side half
     used = sentences.select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
     lex = F.broadcast(lexicon.select("pattern", "is_prefix", "category").distinct())
-    exact = used.join(lex.where("not is_prefix"), F.col("g") == F.col("pattern")).select("id", "g", "c", "category", F.lit(0).alias("len"))
-    starts = used.select("id", "g", "c", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("g"), F.lit(1))), lambda i: F.substring(F.col("g"), F.lit(1), i))).alias("start"))
-    prefix = starts.join(lex.where("is_prefix"), F.col("start") == F.col("pattern")).select("id", "g", "c", "category", F.length("start").alias("len"))
-    hits = exact.unionByName(prefix)
-    best = F.min(F.when(F.col("len") > 0, F.col("len"))).over(Window.partitionBy("id", "g"))
-    kept = hits.withColumn("best", best).where("(best is null) or (len = best)").select("id", "g", "c", "category").distinct()
+    longest = lexicon.where("is_prefix").agg(F.coalesce(F.max(F.length("pattern")), F.lit(1))).first()[0]
+    # each different token is held against the dictionary once
+    seen = used.select("g").distinct()
+    exact = seen.join(lex.where("not is_prefix"), F.col("g") == F.col("pattern")).select("g", "category", F.lit(0).alias("len"))
+    upto = F.greatest(F.least(F.length("g"), F.lit(longest)), F.lit(1))
+    starts = seen.select("g", F.explode(F.transform(F.sequence(F.lit(1), upto), lambda i: F.substring(F.col("g"), F.lit(1), i))).alias("start"))
+    prefix = starts.join(lex.where("is_prefix"), F.col("start") == F.col("pattern")).select("g", "category", F.length("start").alias("len"))
+    best = F.min(F.when(F.col("len") > 0, F.col("len"))).over(Window.partitionBy("g"))
+    hits = exact.unionByName(prefix).withColumn("best", best).where("(best is null) or (len = best)").select("g", "category").distinct()
+    kept = used.join(hits, "g")
     summed = kept.groupBy("id").agg(*(F.sum(F.when(F.col("category") == c, F.col("c"))).alias(c) for c in categories))
     return totals.join(summed, "id", "left").select("id", *(ratio(F.coalesce(F.col(c), F.lit(0)), F.col("n")).alias(f"{c}_liwc") for c in categories))
 

@@ -132,14 +132,30 @@ def connectivity(edge_list: list[tuple[str, str | None]]) -> tuple[int, int, int
 
 
 def graph_connectivity(e: DataFrame, suffix: str = "_naive") -> DataFrame:
-    """lcc, lsc, di, asp of each id."""
-    schema = f"id string, lcc{suffix} bigint, lsc{suffix} bigint, di{suffix} bigint, asp{suffix} double"
-
-    def measure(g: pd.DataFrame) -> pd.DataFrame:
-        rows = [(a, b if isinstance(b, str) else None) for a, b in zip(g["src"], g["dst"])]
-        return pd.DataFrame([(g["id"].iloc[0], *connectivity(rows))], columns=["id", f"lcc{suffix}", f"lsc{suffix}", f"di{suffix}", f"asp{suffix}"])
+    """lcc, lsc, di, asp of each id.
 
-    return e.select(F.col("id").cast("string").alias("id"), "src", "dst").distinct().groupBy("id").applyInPandas(measure, schema)
+    Edges are sorted by id within partitions and streamed in batches, so any number of small graphs costs no call each;
+    one graph at a time is held.
+    """
+    schema = f"id string, lcc{suffix} bigint, lsc{suffix} bigint, di{suffix} bigint, asp{suffix} double"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            out = []
+            for key, a, b in zip(batch["id"], batch["src"], batch["dst"]):
+                if key != at:
+                    if held:
+                        out.append((at, *connectivity(held)))
+                    at, held = key, []
+                held.append((a, b if isinstance(b, str) else None))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([(at, *connectivity(held))], columns=names)
+
+    return e.select(F.col("id").cast("string").alias("id"), "src", "dst").distinct().repartition("id").sortWithinPartitions("id").mapInPandas(measure, schema)
 
 
 def normalised(features: DataFrame, size: DataFrame) -> DataFrame:

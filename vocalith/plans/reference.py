@@ -13,7 +13,7 @@ from vocalith.functions.stats import describe5
 from vocalith.operators import features, graphs, topics
 from vocalith.operators import segments as sg
 from vocalith.plans import pipeline
-from vocalith.session import table
+from vocalith.session import spread, table
 from vocalith.sources import files
 
 #: Words that topics leave out.
@@ -33,16 +33,16 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.segments(_results(spark, sf), by_feature=False)
+    return sg.segments(spread(_results(spark, sf)), by_feature=False)
 
 
 def _by_feature(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.segments(_results(spark, sf))
+    return sg.segments(spread(_results(spark, sf)))
 
 
 def _each(spark: SparkSession, sf: str) -> DataFrame:
     """Level segment: every row is its own group."""
-    return _results(spark, sf).select(F.col("result_id").cast("string").alias("id"), "text")
+    return spread(_results(spark, sf)).select(F.col("result_id").cast("string").alias("id"), "text")
 
 
 def _metadata(spark: SparkSession, sf: str, call_type: str = "all") -> DataFrame:
