@@ -89,24 +89,23 @@ def liwc(sentences: DataFrame, lexicon: DataFrame, categories: list[str]) -> Dat
     A prefix pattern wins at its shortest over all others; exact patterns count else. A token counts once a category. The
     lexicon is one dictionary, bounded by its file, and broadcast.
     """
-    tokens = tx.words("text")
+    # split once: inside a lambda an expression is evaluated per element
+    sentences = sentences.select("id", tx.words("text").alias("ws"))
+    tokens = F.col("ws")
     grams = F.concat(tokens, tx.ngrams(tokens, 2), tx.ngrams(tokens, 3))
-    totals = sentences.groupBy("id").agg(F.sum(F.size(tokens)).alias("n"))
-    # equal tokens of an id are one row after the map-side half
-    used = sentences.select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
-    lex = F.broadcast(lexicon.select("pattern", "is_prefix", "category").distinct())
+    # equal tokens of an id are one row after the map-side half; the row without token counts the words
+    counted = F.concat(F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"))), F.array(F.struct(F.lit(None).cast("string").alias("g"), F.size(tokens).alias("c"))))
+    used = sentences.select("id", F.explode(counted).alias("x")).groupBy("id", F.col("x.g").alias("g")).agg(F.sum("x.c").alias("c"))
+    lex = F.broadcast(lexicon.select("is_prefix", "pattern", "category").distinct())
     longest = lexicon.where("is_prefix").agg(F.coalesce(F.max(F.length("pattern")), F.lit(1))).first()[0]
-    # each different token is held against the dictionary once
-    seen = used.select("g").distinct()
-    exact = seen.join(lex.where("not is_prefix"), F.col("g") == F.col("pattern")).select("g", "category", F.lit(0).alias("len"))
     upto = F.greatest(F.least(F.length("g"), F.lit(longest)), F.lit(1))
-    starts = seen.select("g", F.explode(F.transform(F.sequence(F.lit(1), upto), lambda i: F.substring(F.col("g"), F.lit(1), i))).alias("start"))
-    prefix = starts.join(lex.where("is_prefix"), F.col("start") == F.col("pattern")).select("g", "category", F.length("start").alias("len"))
-    best = F.min(F.when(F.col("len") > 0, F.col("len"))).over(Window.partitionBy("g"))
-    hits = exact.unionByName(prefix).withColumn("best", best).where("(best is null) or (len = best)").select("g", "category").distinct()
-    kept = used.join(hits, "g")
-    summed = kept.groupBy("id").agg(*(F.sum(F.when(F.col("category") == c, F.col("c"))).alias(c) for c in categories))
-    return totals.join(summed, "id", "left").select("id", *(ratio(F.coalesce(F.col(c), F.lit(0)), F.col("n")).alias(f"{c}_liwc") for c in categories))
+    whole = F.array(F.struct(F.lit(False).alias("is_prefix"), F.col("g").alias("pattern")))
+    starts = F.transform(F.sequence(F.lit(1), upto), lambda i: F.struct(F.lit(True).alias("is_prefix"), F.substring(F.col("g"), F.lit(1), i).alias("pattern")))
+    tried = used.select("id", "g", "c", F.explode(F.when(F.col("g").isNull(), whole).otherwise(F.concat(whole, starts))).alias("p")).select("id", "g", "c", "p.*")
+    hits = tried.join(lex, ["is_prefix", "pattern"], "left").where("category is not null or g is null").withColumn("len", F.when(F.col("is_prefix"), F.length("pattern")))
+    kept = hits.withColumn("best", F.min("len").over(Window.partitionBy("id", "g"))).where("best is null or len = best")
+    n = F.sum(F.when(F.col("g").isNull(), F.col("c")))
+    return kept.groupBy("id").agg(*(ratio(F.coalesce(F.sum(F.when(F.col("category") == c, F.col("c"))), F.lit(0)), n).alias(f"{c}_liwc") for c in categories))
 
 
 # parts of speech -----------------------------------------------------------------------------------------------------
