@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalith.functions.keys import clean_key
+from vocalith.operators.moments import DAY_US, read_moments
 
 #: The call types, and the flag each keeps (None keeps all).
 CALL_TYPES = {"all": None, "personal": False, "assessment": True}
@@ -44,6 +45,24 @@ def metadata(rows: DataFrame, call_type: str = "all") -> DataFrame:
     return one if wanted is None else one.where(F.col("is_assessment") == F.lit(wanted))
 
 
+def call_days(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """(call_id, day): the date that ``call_datetime`` states as it is written, 'yyyy-MM-dd', whatever zone stands beside it.
+
+    Of several rows of a call, the last loaded that states one counts; calls without any are left out. Slashed dates
+    follow the site's ``date_order`` (else DMY, as in ``moments.normalise``); a count since 1970 states its date in UTC.
+    """
+    site = F.broadcast(sites.select("site_id", "date_order"))  # one row a site
+    placed = rows.select(clean_key("call_id").alias("call_id"), "site_id", "call_datetime", "loaded_at", "meta_id").where("call_id is not null").join(site, "site_id", "left")
+    read = read_moments(placed.withColumn("date_order", F.coalesce("date_order", F.lit("DMY"))), "call_datetime", "date_order", ["call_id", "loaded_at", "meta_id"]).where("local_us is not null")
+    day = F.date_format(F.date_from_unix_date(F.floor(F.col("local_us") / DAY_US).cast("int")), "yyyy-MM-dd")
+    return read.groupBy("call_id").agg(F.max_by(day, F.struct("loaded_at", "meta_id")).alias("day"))
+
+
+def day_id(day: Column | str = "day") -> Column:
+    """Id of subject and date of a call; a call without date is kept under NaT, as pandas writes it."""
+    return F.concat_ws("_", "subject_id", F.coalesce((F.col(day) if isinstance(day, str) else day).cast("string"), F.lit("NaT")))
+
+
 def with_level(rows: DataFrame, meta: DataFrame, level: str, day: Column | None = None) -> DataFrame:
     """Segments of the calls in ``meta``; at level ``day`` the id becomes subject and date of the call.
 
@@ -53,7 +72,7 @@ def with_level(rows: DataFrame, meta: DataFrame, level: str, day: Column | None
         raise ValueError("level must be call or day")
     if level == "call":
         return rows.join(meta.select("call_id"), "call_id", "left_semi").withColumn("id", F.col("call_id"))
-    keyed = meta.select("call_id", F.concat_ws("_", "subject_id", (day if day is not None else F.col("day")).cast("string")).alias("_id"))
+    keyed = meta.select("call_id", day_id("day" if day is None else day).alias("_id"))
     return rows.join(keyed, "call_id").withColumn("id", F.col("_id")).drop("_id")
 
 

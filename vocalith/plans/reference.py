@@ -46,10 +46,9 @@ def _each(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _metadata(spark: SparkSession, sf: str, call_type: str = "all") -> DataFrame:
-    """Calls with the day of the load as call day: what day a written time means is the business of problem 1."""
+    """Calls with the date that their call_datetime states; null where none of a call's rows states one."""
     rows = table(spark, sf, "metadata")
-    days = rows.select(clean_key("call_id").alias("call_id"), F.date_format("loaded_at", "yyyy-MM-dd").alias("day")).where("call_id is not null").groupBy("call_id").agg(F.max("day").alias("day"))
-    return sg.metadata(rows, call_type).join(days, "call_id")
+    return sg.metadata(rows, call_type).join(sg.call_days(rows, table(spark, sf, "sites")), "call_id", "left")
 
 
 # text features
@@ -130,7 +129,7 @@ def ms_timing(spark, sf):
 def ms_timing_day(spark, sf):
     meta = _metadata(spark, sf)
     rows = sg.with_level(_segments(spark, sf), meta, "day")
-    total = meta.join(sg.durations(table(spark, sf, "call_durations")), "call_id").groupBy(F.concat_ws("_", "subject_id", F.col("day").cast("string")).alias("id")).agg(F.sum("duration_s").alias("duration_s"))
+    total = meta.join(sg.durations(table(spark, sf, "call_durations")), "call_id").groupBy(sg.day_id().alias("id")).agg(F.sum("duration_s").alias("duration_s"))
     return r6(features.timing_features(features.timing_measures(rows), total))
 
 
