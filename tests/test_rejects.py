@@ -95,6 +95,23 @@ def test_rejects_and_load(spark):
     assert set(loaded) == {1, 5} and loaded[1].confidence == 0.5 and loaded[1].segment_number == 3
 
 
+def test_load_all_tables(spark):
+    digits, longer = "9" * 30, "9" * 50
+    raw = [(1, f"C1,3,Hi.,hi,0.5,{digits},2,\"[{{'Word': 'hi', 'Offset': 1, 'Duration': 2, 'x': 1}}]\"", ""), (2, f"C1,3,,,5e-1,1,{longer},", "")]
+    conf = [(1, "a_b_1_2 1 x 3 w 0.5", ""), (2, "a_b_2_2 1 2 3 w 0.5", ""), (3, None, ""), (4, f"a_b_1_{digits} 1 2 3 w .5e0", "")]
+    rec = [(1, GOOD, ""), (2, None, ""), (3, "nan", ""), (4, "[{}]", ""), (5, "[]", ""), (6, "[{'Word': 'w', 'Offset': %s, 'Duration': 2}]" % digits, "")]
+    frames = tables(spark, rec, conf, raw)
+    found = rj.rejects(*frames)
+    loaded = {r.raw_id: r for r in rj.load_raw(frames[2], found).collect()}
+    assert loaded[1].offset == int(digits) and loaded[1].long_digits == {} and loaded[2].duration is None and loaded[2].long_digits == {"duration": longer}
+    assert [w[:3] for w in loaded[1].word_timing] == [("hi", 1, 2)] and json.loads(loaded[1].word_timing[0].record)["x"] == 1 and loaded[2].word_timing is None
+    lines = {r.line_id: (r.segment_id, r.segment_start, r.segment_end, r.middle, r.confidence) for r in rj.load_lines(frames[1], found).collect()}
+    assert lines == {1: ("a_b_1_2", 1, 2, ["1", "x", "3", "w"], 0.5), 4: (f"a_b_1_{digits}", 1, int(digits), ["1", "2", "3", "w"], 0.5)}
+    words = {r.result_id: r.word_timing for r in rj.load_words(frames[0]).collect()}
+    assert set(words) == {1, 2, 5, 6} and words[2] is None and words[5] == [] and words[6][0].offset == int(digits) and words[6][0].record is None
+    assert [w[:3] for w in words[1]] == [("it's", 2, 1), ("a, {b}: [c]", 0, 5)] and json.loads(words[1][1].record)["Phones"] == [{"Ph": "X", "Offset": 1}]
+
+
 def test_empty(spark):
     assert rj.rejects(*tables(spark, [], [], [])).count() == 0
 

@@ -132,8 +132,42 @@ def rejects(recognition: DataFrame, conf_sym: DataFrame, raw: DataFrame, salts:
     return found.groupBy("table_name", "row_id").agg(F.min_by("reason", rank).alias("reason"))
 
 
+#: A word of a loaded word timing. Ticks are as long as the checks let them be (38 digits); ``record`` is the whole record as JSON, where it has more keys.
+_WORD = """named_struct('word', try_variant_get(r, '$.Word', 'string'), 'offset', try_variant_get(r, '$.Offset', 'decimal(38,0)'), 'duration', try_variant_get(r, '$.Duration', 'decimal(38,0)'),
+    'record', case when size(map_keys(try_variant_get(r, '$', 'map<string,variant>'))) > 3 then to_json(r) end)"""
+
+
+def _with_words(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``text`` as an array of typed words in place of the literal; rows whose literal is bad are left out, null texts stay null."""
+    kept = [c for c in df.columns if c != text]
+    read = with_word_list(df, text, "_words", "_reason")
+    good = F.filter(F.array(F.struct(F.col("_reason").alias("reason"), F.expr(f"transform(_words, r -> {_WORD})").alias("words"))), lambda x: x.reason.isNull())
+    return read.select(*kept, F.explode(good).alias("_x")).select(*(F.col("_x.words").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
+
+
+def load_words(recognition: DataFrame) -> DataFrame:
+    """The recognition rows that ``rejects`` doesn't list, word_timing as typed words."""
+    return _with_words(recognition, "word_timing")
+
+
+def load_lines(conf_sym: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The valid lines of conf_sym, conf_scores as its fields: segment_id with its start and end, confidence, and in ``middle`` the four texts between, which nothing is said of."""
+    good = conf_sym.join(rejected.where("table_name = 'conf_sym'").select(F.col("row_id").alias("line_id")), "line_id", "left_anti")
+    f = F.split("conf_scores", " ")
+    at = lambda i: F.try_element_at(F.split(f[0], "_"), F.lit(i)).try_cast("decimal(38,0)")
+    kept = [F.col(f"`{c}`") for c in conf_sym.columns if c != "conf_scores"]
+    return good.select(*kept, f[0].alias("segment_id"), at(3).alias("segment_start"), at(4).alias("segment_end"), F.slice(f, 2, 4).alias("middle"), f[5].try_cast("double").alias("confidence"))
+
+
 def load_raw(raw: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The valid raw records with typed columns; ``rejected`` is what ``rejects`` gave."""
+    """The valid raw records with typed columns; ``rejected`` is what ``rejects`` gave.
+
+    A number of more than 38 digits fits no integer type: its column is null and its digits stand in ``long_digits`` under
+    its name. A blank word timing is null.
+    """
     good = raw_records(raw).where("reason is null").join(rejected.where("table_name = 'raw_results'").select("row_id"), "row_id", "left_anti")
-    kinds = {"segment_number": "bigint", "confidence": "double", "offset": "bigint", "duration": "bigint"}
-    return good.select(F.col("row_id").alias("raw_id"), *(F.col("fields")[i].try_cast(kinds.get(name, "string")).alias(name) for i, name in enumerate(RAW_FIELDS)))
+    kinds = {"segment_number": "decimal(38,0)", "confidence": "double", "offset": "decimal(38,0)", "duration": "decimal(38,0)"}
+    typed = good.select(F.col("row_id").alias("raw_id"), *(F.col("fields")[i].try_cast(kinds.get(name, "string")).alias(name) for i, name in enumerate(RAW_FIELDS)), "fields")
+    long = F.filter(F.array(*(F.struct(F.lit(name).alias("key"), F.when(F.col(name).isNull(), F.col("fields")[RAW_FIELDS.index(name)]).alias("value")) for name, kind in RAW_KINDS.items() if kind == "digits")), lambda x: x.value.isNotNull())
+    blank = F.when(F.trim("word_timing") != "", F.col("word_timing"))
+    return _with_words(typed.withColumn("word_timing", blank).withColumn("long_digits", F.map_from_entries(long)).drop("fields"), "word_timing")

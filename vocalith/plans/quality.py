@@ -75,10 +75,25 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.rejects(*(table(spark, sf, t) for t in ("recognition_results", "conf_sym", "raw_results")))
 
 
+def _no(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return table(spark, sf, name).where("false")
+
+
 def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The good records of raw_results; p4_loaded_words and p4_loaded_lines give those of the other two tables."""
     raw = table(spark, sf, "raw_results")
-    none = table(spark, sf, "recognition_results").where("false"), table(spark, sf, "conf_sym").where("false")
-    return rejects.load_raw(raw, rejects.rejects(*none, raw))
+    return rejects.load_raw(raw, rejects.rejects(_no(spark, sf, "recognition_results"), _no(spark, sf, "conf_sym"), raw))
+
+
+def p4_loaded_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of recognition_results with a good word timing or none."""
+    return rejects.load_words(table(spark, sf, "recognition_results"))
+
+
+def p4_loaded_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The good lines of conf_sym."""
+    lines = table(spark, sf, "conf_sym")
+    return rejects.load_lines(lines, rejects.rejects(_no(spark, sf, "recognition_results"), lines, _no(spark, sf, "raw_results")))
 
 
 def _orphans(spark: SparkSession, sf: str):
@@ -114,7 +129,7 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return digests.certify(rows, ["feature_id"], "confidence", digests.quantiles(merged, ["feature_id"], PROBS))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_alternatives, p4_found, p4_loaded, p5_found, p5_report, p5_keys, p6_found, p6_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_alternatives, p4_found, p4_loaded, p4_loaded_words, p4_loaded_lines, p5_found, p5_report, p5_keys, p6_found, p6_percentiles)}
 
 def _sql() -> dict[str, str]:
     from vocalith.plans.reference import SQL_JSON, sql_key
