@@ -46,3 +46,25 @@ def test_low_medians(spark):
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "result_id bigint, feature_id string, confidence double")
     assert [r.feature_id for r in dg.low_median_features(df).collect()] == ["low"]
     assert dg.low_median_features(df.where("false")).count() == 0
+
+
+def test_ties_are_steps(spark):
+    rng = random.Random(6)
+    groups = {"two": [0.3] * 3000 + [0.9] * 2000, "five": [rng.choice((1, 2, 2, 2, 9)) for _ in range(5000)], "mixed": [rng.random() if i % 3 else 0.4 for i in range(9000)], "half": [0.2] * 50 + [0.6] * 50}
+    for vs in groups.values():
+        rng.shuffle(vs)
+    df = data(spark, groups)
+    merged = dg.merge(dg.build(df, ["g", "part"], "v"), ["g"])
+    got = dg.certify(df, ["g"], "v", dg.quantiles(merged, ["g"], [0.01, 0.1, 0.3, 0.45, 0.5, 0.59, 0.61, 0.9, 0.99])).collect()
+    assert len(got) == 4 * 9 and max(r.rank_error for r in got) < 0.01
+    assert {r.estimate for r in got if r.g == "two" and r.prob <= 0.59} == {0.3}
+
+
+def test_low_medians_with_ties(spark):
+    rng = random.Random(8)
+    groups = {"a": [0.3] * 24 + [0.9] * 16, "b": [0.3] * 16 + [0.9] * 24, "c": [0.2] * 20 + [0.7] * 20, "d": [0.2] * 20 + [0.8] * 20, "e": [0.5] * 40, "f": [0.49999] * 21 + [0.5] * 20}
+    groups |= {f"r{i}": [rng.choice((0.1, 0.3, 0.49, 0.5, 0.51, 0.9)) for _ in range(rng.randrange(30, 60))] for i in range(60)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "result_id bigint, feature_id string, confidence double")
+    assert sorted(r.feature_id for r in dg.low_median_features(df).collect()) == sorted(g for g, vs in groups.items() if statistics.median(vs) < 0.5)

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.session import cut_lineage
+
 #: Size of a digest: about so many centroids. The rank error of one build is at most half of a middle cluster, pi/(4 delta) of the group.
 DELTA = 200
 
@@ -40,25 +42,37 @@ def _cluster(points: DataFrame, keys: list[str], delta: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("mean", "least", "most", "weight")
     below = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum("weight").over(Window.partitionBy(*keys))
-    placed = points.withColumn("q", (below + F.col("weight") / 2) / total).withColumn("cluster", F.floor(scale(F.col("q"), delta)).cast("int"))
-    return placed.groupBy(*keys, "cluster").agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # a value heavier than the widest cluster stays alone, so that its centroid is a step; its neighbours on both sides can't share a cluster
+    alone = F.when((F.col("least") == F.col("most")) & (F.col("weight") > total * (math.pi / (2 * delta))), F.col("least"))
+    placed = points.withColumn("q", (below + F.col("weight") / 2) / total).withColumn("cluster", F.floor(scale(F.col("q"), delta)).cast("int")).withColumn("alone", alone)
+    placed = placed.groupBy(*keys, "cluster", "alone").agg(F.when(F.min("least") == F.max("most"), F.min("least")).otherwise(F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return placed.drop("alone")
 
 
 def quantiles(digests: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """keys, prob, estimate, n: linear between the centres of neighbouring centroids, exact least and most at the ends."""
+    """keys, prob, estimate, n: linear between the centres of neighbouring centroids, exact least and most at the ends.
+
+    A centroid of several equal values is a step: every rank within it gives its value, and ranks beside it none of it.
+    """
     w = Window.partitionBy(*keys).orderBy("mean", "cluster")
     below = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum("weight").over(Window.partitionBy(*keys))
-    at = digests.withColumn("n", total).withColumn("mid", below + F.col("weight") / 2)
-    at = at.withColumn("pmid", F.lag("mid").over(w)).withColumn("pmean", F.lag("mean").over(w)).withColumn("nmid", F.lead("mid").over(w))
+    step = (F.col("least") == F.col("most")) & (F.col("weight") > 1)
+    at = digests.withColumn("n", total).withColumn("below", below)
+    at = at.withColumn("from", F.when(step, F.col("below")).otherwise(F.col("below") + F.col("weight") / 2)).withColumn("to", F.when(step, F.col("below") + F.col("weight")).otherwise(F.col("below") + F.col("weight") / 2))
+    at = at.withColumn("pto", F.lag("to").over(w)).withColumn("pmean", F.lag("mean").over(w)).withColumn("nto", F.lead("to").over(w))
     asked = at.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs)))).withColumn("rank", F.col("prob") * F.col("n"))
-    first, final = F.col("pmid").isNull(), F.col("nmid").isNull()
-    covers = (first | (F.col("rank") >= F.col("pmid"))) & (F.col("rank") < F.col("mid"))
-    share = F.when(first, F.col("rank") / F.col("mid")).otherwise((F.col("rank") - F.col("pmid")) / (F.col("mid") - F.col("pmid")))
-    low = F.when(first, F.col("least")).otherwise(F.col("pmean"))
-    tail = final & (F.col("rank") >= F.col("mid"))
-    tail_share = F.when(F.col("n") > F.col("mid"), (F.col("rank") - F.col("mid")) / (F.col("n") - F.col("mid"))).otherwise(F.lit(0.0))
-    estimate = F.when(tail, F.col("mean") + tail_share * (F.col("most") - F.col("mean"))).otherwise(low + share * (F.col("mean") - low))
+    first, final = F.col("pto").isNull(), F.col("nto").isNull()
+    covers = (first | (F.col("rank") >= F.col("pto"))) & (F.col("rank") < F.col("to"))
+    tail = final & (F.col("rank") >= F.col("to"))
+    tail_share = F.when(F.col("n") > F.col("to"), (F.col("rank") - F.col("to")) / (F.col("n") - F.col("to"))).otherwise(F.lit(0.0))
+    low, start = F.when(first, F.col("least")).otherwise(F.col("pmean")), F.coalesce("pto", F.lit(0.0))
+    estimate = (
+        F.when(tail, F.col("mean") + tail_share * (F.col("most") - F.col("mean")))
+        .when((F.col("rank") == F.col("from")) & (F.col("from") == start), (low + F.col("mean")) / 2)  # just between two steps
+        .when(F.col("rank") >= F.col("from"), F.col("mean"))
+        .otherwise(low + (F.col("rank") - start) / (F.col("from") - start) * (F.col("mean") - low))
+    )
     return asked.where(covers | tail).select(*keys, "prob", estimate.alias("estimate"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -85,6 +99,25 @@ def confidence_digests(recognition: DataFrame, delta: int = DELTA, salts: int =
     return build(rows, ["feature_id", "part"], "confidence", delta)
 
 
+def exact_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: by counting equal values and running sums, for the few groups that need it."""
+    counted = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))
+    at = counted.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    # the two middle values: the first ones with half of all rows, and with more than half, up to them
+    return at.groupBy(*keys).agg(((F.min(F.when(2 * F.col("upto") >= F.col("n"), F.col("v"))) + F.min(F.when(2 * F.col("upto") > F.col("n"), F.col("v")))) / 2).alias("median"))
+
+
 def low_median_features(recognition: DataFrame, least_rows: int = 30, below: float = 0.5, delta: int = DELTA) -> DataFrame:
+    """feature_id whose median is below ``below``: certified by counting around the estimate; where that leaves it open, by the exact median."""
+    rows = recognition.where(F.col("feature_id").isNotNull() & usable()).select("feature_id", "confidence")
     merged = merge(confidence_digests(recognition, delta), ["feature_id"], delta)
-    return quantiles(merged, ["feature_id"], [0.5]).where((F.col("n") >= least_rows) & (F.col("estimate") < below)).select("feature_id")
+    margin = math.pi / delta
+    answers = cut_lineage(quantiles(merged, ["feature_id"], [0.5 - margin, 0.5 + margin]).where(F.col("n") >= least_rows))
+    known = certify(rows, ["feature_id"], "confidence", answers)
+    under = (F.col("prob") > 0.5) & (F.col("estimate") < below) & (2 * F.col("n_upto") > F.col("n"))
+    over = (F.col("prob") < 0.5) & (F.col("estimate") >= below) & (2 * F.col("n_below") < F.col("n"))
+    verdict = cut_lineage(known.groupBy("feature_id").agg(F.max(under).alias("low"), F.max(over).alias("high")))
+    unsure = rows.join(verdict.where("not low and not high").select("feature_id"), "feature_id", "left_semi")
+    settled = exact_medians(unsure, ["feature_id"], "confidence").where(F.col("median") < below)
+    return verdict.where("low").select("feature_id").unionByName(settled.select("feature_id"))
