@@ -68,6 +68,11 @@ def test_thai():
     assert [text[a:b] for a, b in got] == ["A: ผู้โทรพูดเบามาก", "พยาบาลถาม 5 ครั้ง", "“ได้ยินไหม” พยาบาลถาม"]
 
 
+@pytest.mark.parametrize("parts", [["The caller paused.", "She said ได้ยิน and asked again.", "They paused."], ["It cost ฿5.", "The caller paused!", "She paused."], ["She said ได้ยิน.", "They paused."]])
+def test_thai_word_in_another_script(parts, model):
+    assert split(" ".join(parts), model) == parts
+
+
 @pytest.mark.parametrize("text", [None, "", " \n\t ", "...", "\"", "«", ")(", "a" * 30_000, "A. " * 5000, "。" * 3000, "“" * 2000, "x.\n" * 3000, "ก ข " * 2000])
 def test_covers_everything(text, model):
     spans = st.sentence_spans(text, model)

@@ -38,7 +38,7 @@ _LINE = re.compile(r"[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _TAG = re.compile(r"\s*(?:[-•*–—▪◦·‣]\s+|\(?\d{1,3}[.)]\s+|(?:[A-Za-z]\)|[a-zA-C]\.)\s+|[^\W\d_][\w '’-]{0,24}(?::(?=\s)|(?<![说道问答喊曰])：)\s*)")
 _PLACE = re.compile(rf"([{MARKS}]+|(?<=[\u0370-\u03ff\u1f00-\u1fff])[;\u037e]+)|[{re.escape(''.join(PAIRS) + _CLOSE)}]")
 _DIGIT = re.compile(r"\d")
-_THAI = re.compile(r"[\u0e01-\u0e5b]")
+_THAI = re.compile(r"[\u0e01-\u0e3a\u0e40-\u0e5b]")  # without the baht sign
 _GAP = re.compile(r"[ \t\u00a0\u202f\u2009\u3000]+")
 _LEFT = re.compile(r"[^\s«»“”„「」『』()（）\[\]\"‘’—–:：,，、;؛]{1,24}$")
 _RIGHT = re.compile(r"[\w'’&<>-]{1,24}")
@@ -222,11 +222,18 @@ def thai_ends(text: str, a: int, b: int) -> list[int]:
         x, y = text[m.start() - 1], text[m.end()]
         if x.isdigit() or y.isdigit() or x in "”»’」" or (x == '"' and straight % 2 == 0):
             continue
-        if _THAI.match(x) or _THAI.match(y):
+        if (_THAI.match(x) or _THAI.match(y)) and _thai_between(text, body, m.start(), m.end(), b):
             ends.append(m.start())
     return ends
 
 
+def _thai_between(text: str, a: int, at: int, after: int, b: int) -> bool:
+    """Is the nearest letter on either side of a place Thai?"""
+    x = next((text[i] for i in range(at - 1, a - 1, -1) if text[i].isalpha() or _THAI.match(text[i])), "")
+    y = next((text[i] for i in range(after, b) if text[i].isalpha() or _THAI.match(text[i])), "")
+    return bool(_THAI.match(x) and _THAI.match(y))
+
+
 class Model:
     """Log potentials of places. left: type -> (counts with, without boundary); right: the same; both with shapes as back-off."""
 
@@ -338,8 +345,6 @@ def _add(a: float, b: float) -> float:
 def document_counts(text: str, model: Model | None, left: dict, right: dict, follow: dict) -> None:
     """Adds the expected counts (no, yes) of one text; without a model the counts of (places, certain boundaries)."""
     for a, b in _blocks(text):
-        if _THAI.search(text, a, b):
-            continue
         found, final, first = places(text, a, b)
         if final is not None:
             left[final[0]][1] += 1
@@ -372,15 +377,14 @@ def sentence_spans(text: str | None, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence, in order; together they hold every character that isn't white space."""
     out: list[tuple[int, int]] = []
     for a, b in _blocks(text or ""):
-        if _THAI.search(text, a, b):
-            ends = thai_ends(text, a, b)
-        else:
-            found, _, _ = places(text, a, b)
-            p = model.posteriors(found)
-            # marks inside a quotation end nothing if the sentence goes on after it
-            closed = {x.closes for x, y in zip(found, p) if x.closes >= 0 and y > 0.5}
-            last = {x.closes for x in found if x.closes >= 0}
-            ends = [x.end for x, y in zip(found, p) if y > 0.5 and (x.outer < 0 or x.outer in closed or (x.outer not in last and _ends_in(text, found, x, b)))]
+        found, _, _ = places(text, a, b)
+        p = model.posteriors(found)
+        # marks inside a quotation end nothing if the sentence goes on after it
+        closed = {x.closes for x, y in zip(found, p) if x.closes >= 0 and y > 0.5}
+        last = {x.closes for x in found if x.closes >= 0}
+        ends = [x.end for x, y in zip(found, p) if y > 0.5 and (x.outer < 0 or x.outer in closed or (x.outer not in last and _ends_in(text, found, x, b)))]
+        if _THAI.search(text, a, b):  # between Thai and Thai, blanks decide
+            ends = sorted({x for x in ends if not _thai_between(text, a, x, x, b)}.union(thai_ends(text, a, b)))
         at = a
         for end in [*ends, b]:
             s, e = at, end
