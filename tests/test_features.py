@@ -199,3 +199,13 @@ def test_lemma_and_tag_graphs(spark):
 
 def test_queries_are_named():
     assert len(QUERIES) >= 40
+
+
+def test_topic_sweep_is_whole(spark, monkeypatch):
+    """The registered query trains every number of topics of the reference, with the operator's iterations."""
+    trained = []
+    monkeypatch.setattr(tp, "train_topics", lambda bag, k, iterations: trained.append((k, iterations)) or (None, []))
+    monkeypatch.setattr(tp, "topic_words", lambda *_: None)
+    monkeypatch.setattr(tp, "coherence", lambda *_: spark.createDataFrame([(0, 0.5)], "topic int, npmi double"))
+    assert [r.k for r in QUERIES["topic_sweep"](spark, "/root/testdata/sf0.001").orderBy("k").collect()] == [2, 7, 12, 17, 22, 27, 32, 37]
+    assert trained == [(k, 5) for k in range(2, 40, 5)]

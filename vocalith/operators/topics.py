@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalith.operators.features import NON_VERBAL
+from vocalith.session import cut_lineage
 
 
 def remove_stop_words(tokens: Column, stop: list[str]) -> Column:
@@ -106,10 +107,10 @@ def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
 
 
 def sweep(bag: DataFrame, ks: range = range(2, 40, 5), iterations: int = 5) -> DataFrame:
-    """(k, npmi): mean coherence for each number of topics."""
-    out = None
+    """(k, npmi): mean coherence for each number of topics. Each is taken to its one row before the next, so plans don't add up on the driver."""
+    bag = cut_lineage(bag)
+    rows = []
     for k in ks:
         model, vocabulary = train_topics(bag, k, iterations)
-        one = coherence(topic_words(model, vocabulary), bag).agg(F.lit(k).alias("k"), F.avg("npmi").alias("npmi"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        rows.append((k, coherence(topic_words(model, vocabulary), bag).agg(F.avg("npmi")).first()[0]))
+    return bag.sparkSession.createDataFrame(rows, "k int, npmi double")

@@ -286,7 +286,7 @@ def topic_coherence(spark, sf):
 
 
 def topic_sweep(spark, sf):
-    return topics.sweep(_bag(spark, sf), range(2, 13, 5), 3)
+    return topics.sweep(_bag(spark, sf))
 
 
 QUERIES = {
