@@ -90,3 +90,15 @@ def test_estimate_without_declared_zone(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "meta_id bigint, site_id string, call_datetime string, loaded_at timestamp")
     assert m.normalise(df, "meta_id", "call_datetime", "loaded_at", sites(spark)).count() == 0
+
+
+def test_estimate_fills_a_site_without_zone(spark):
+    from datetime import datetime
+
+    sites = spark.createDataFrame([("X", None, "DMY", None, None), ("B", "Asia/Tokyo", "DMY", "JST", None), ("N", "America/New_York", "MDY", "EST", "EDT")], "site_id string, tz_name string, date_order string, std_abbr string, dst_abbr string")
+    rows = [(i, "X", f"2024-01-{i:02d} 10:00", datetime(2024, 1, i, 1, 10)) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "row bigint, site_id string, t string, got timestamp")
+    from vocalith.operators.moments import normalise
+
+    want = {i: 1704067200000000 + (i - 1) * 86_400_000_000 + 3_600_000_000 for i in range(1, 20)}  # 01:00 UTC
+    assert {r.row_id: r.utc_us for r in normalise(df, "row", "t", "got", sites).collect()} == want
