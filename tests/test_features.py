@@ -209,3 +209,39 @@ def test_topic_sweep_is_whole(spark, monkeypatch):
     monkeypatch.setattr(tp, "coherence", lambda *_: spark.createDataFrame([(0, 0.5)], "topic int, npmi double"))
     assert [r.k for r in QUERIES["topic_sweep"](spark, "/root/testdata/sf0.001").orderBy("k").collect()] == [2, 7, 12, 17, 22, 27, 32, 37]
     assert trained == [(k, 5) for k in range(2, 40, 5)]
+
+
+def greedy(words, pairs):
+    out, i = [], 0
+    while i < len(words):
+        if tuple(words[i : i + 2]) in pairs:
+            out.append("_".join(words[i : i + 2]))
+            i += 2
+        else:
+            out.append(words[i])
+            i += 1
+    return out
+
+
+def test_phrases_stay_with_their_rows(spark):
+    """Rows moved between tasks, columns pruned, repeated rows, empty and null lists."""
+    rng = random.Random(3)
+    lists = [[rng.choice("abc") for _ in range(rng.randrange(0, 12))] for _ in range(200)] * 2 + [None]
+    rows = spark.createDataFrame([(i, ws) for i, ws in enumerate(lists)], "id int, ws array<string>")
+    found = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "c")], "a string, b string")
+    pairs = {("a", "b"), ("b", "b"), ("c", "c")}
+    got = {r.id: r.ws for r in tp.apply_phrases(rows.repartition(7), found).collect()}
+    assert got == {i: ws if ws is None else greedy(ws, pairs) for i, ws in enumerate(lists)}
+    only = tp.apply_phrases(rows.repartition(7), found).select("ws").collect()
+    assert sorted(map(str, (r.ws for r in only))) == sorted(map(str, got.values()))
+
+
+def test_means_of_scores_are_exact(spark):
+    """However rows are spread; a plain sum of these eight is 0.82298749..."""
+    from fractions import Fraction
+
+    scores = [0.8445, 0.5972, 0.9493, 0.9001, 0.7103, 0.8812, 0.8513, 0.85]
+    rows = spark.createDataFrame([("x", s) for s in scores], "id string, confidence double")
+    mean = float(sum(map(Fraction, map(str, scores))) / len(scores))
+    for n in (1, 3, 8):
+        assert ft.confidence(rows.repartition(n), ["id"]).first().conf_mean == mean

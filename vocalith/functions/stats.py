@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 SUFFIXES = ("max", "min", "mean", "med", "std")
 
 
-def describe5(value: Column, prefix: str, when: Column | None = None, names: tuple[str, ...] = SUFFIXES, approximate: bool = False, unit: float | None = None) -> list[Column]:
+def describe5(value: Column, prefix: str, when: Column | None = None, names: tuple[str, ...] = SUFFIXES, approximate: bool = False, unit: float | None = None, exact: int | None = None) -> list[Column]:
     """Five aggregates named ``prefix_<name>``; all null over no values (nulls are none).
 
     The median interpolates between the middle values. It keeps a counter per distinct value of a group;
     ``approximate`` bounds that for groups with very many distinct values. ``unit`` is applied to the results, so that sums
-    of whole numbers stay exact.
+    of whole numbers stay exact. With ``exact`` the mean is that of decimals with so many places after the point (values
+    from -10^17 to 10^17), summed exactly: it doesn't depend on the order of rows.
     """
     v = value if when is None else F.when(when, value)
     median = F.percentile_approx(v, 0.5, 10_000).cast("double") if approximate else F.percentile(v.cast("double"), 0.5)
-    columns = (F.max(v), F.min(v), F.avg(v), median, F.stddev_pop(v))
+    mean = F.avg(v) if exact is None else F.sum(v.cast(f"decimal({18 + exact},{exact})")).cast("double") / F.count(v)
+    columns = (F.max(v), F.min(v), mean, median, F.stddev_pop(v))
     return [(c.cast("double") if unit is None else c.cast("double") * unit).alias(f"{prefix}_{n}") for c, n in zip(columns, names)]
 
 

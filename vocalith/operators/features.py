@@ -17,6 +17,8 @@ LONG_WORD = 7
 NON_VERBAL = {"laughter": "[laughter]", "noise": "[noise]", "unk": "<unk>"}
 #: Ticks of 100 ns to seconds and milliseconds; frames of 25 ms.
 TICK_S, TICK_MS, FRAME_MS = 1e-7, 1e-4, 25
+#: Places after the point with which scores are summed.
+SCORE_PLACES = 18
 #: Units of the measures of recognizer segments, which are counted in whole ticks.
 TICKS = {"segments": TICK_S, "silences": TICK_MS, "words": TICK_MS}
 
@@ -151,7 +153,7 @@ def pos_features(tagged: DataFrame, n_words: DataFrame) -> DataFrame:
 def confidence(rows: DataFrame, keys: list[str], score: str = "confidence") -> DataFrame:
     """Describe-5 of scores; null and NaN are no scores, and a group of none has no row."""
     good = rows.where(F.col(score).isNotNull() & ~F.isnan(score))
-    return good.groupBy(*keys).agg(*describe5(F.col(score), "conf"))
+    return good.groupBy(*keys).agg(*describe5(F.col(score), "conf", exact=SCORE_PLACES))
 
 
 def non_verbal(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalith.operators.features import NON_VERBAL
@@ -53,34 +55,51 @@ def phrases(rows: DataFrame, threshold: float = 10.0, min_count: int = 5, tokens
 def apply_phrases(rows: DataFrame, found: DataFrame, tokens: str = "ws") -> DataFrame:
     """Greedy, from left to right: two words that are a phrase become one, joined by an underscore.
 
-    The phrases are joined by their pairs of words, so there may be any number of them.
+    The phrases are joined by their pairs of words, so there may be any number of them. Rows find their phrases by a digest
+    of their own words, which is the same wherever it is computed: equal rows share one search. Null and empty token lists
+    stay as they are.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    near = keyed.select("_row", F.posexplode(F.arrays_zip(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("a"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("b"))).alias("i", "p")).select("_row", "i", "p.a", "p.b")
-    hits = near.join(found.select("a", "b"), ["a", "b"], "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    joined = keyed.join(hits, "_row", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
-    step = F.expr(
-        f"""aggregate(sequence(0, size({tokens}) - 1), named_struct('out', cast(array() as array<string>), 'skip', -1),
-            (s, i) -> case when i = s.skip then named_struct('out', s.out, 'skip', -1)
-                           when array_contains(at, i) then named_struct('out', concat(s.out, array(concat_ws('_', {tokens}[i], {tokens}[i + 1]))), 'skip', i + 1)
-                           else named_struct('out', concat(s.out, array({tokens}[i])), 'skip', -1) end, s -> s.out)"""
+    digest = F.md5(F.to_json(F.struct(F.col(tokens).alias("t"))))
+    keyed = rows.withColumn("_text", digest)
+    lists = keyed.where(F.size(tokens) > 1).groupBy("_text").agg(F.first(tokens).alias("ws"))
+    near = lists.select("_text", F.posexplode(F.arrays_zip(F.slice("ws", 1, F.size("ws") - 1).alias("a"), F.slice("ws", 2, F.size("ws") - 1).alias("b"))).alias("i", "p")).select("_text", "i", "p.a", "p.b")
+    hits = near.join(found.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    # of a run of neighbouring hits every other one is taken, from its first
+    run = Window.partitionBy("_text").orderBy("i")
+    placed = hits.withColumn("run", F.col("i") - F.row_number().over(run))
+    taken = placed.withColumn("first", F.min("i").over(Window.partitionBy("_text", "run"))).where("(i - first) % 2 = 0")
+    at = taken.groupBy("_text").agg(F.array_sort(F.collect_list("i")).alias("_at"))
+    # a slice before each phrase, the phrase, and the rest after the last: the words are copied once
+    merged = F.expr(
+        f"""concat(flatten(transform(sequence(0, size(_at) - 1), k -> concat(
+              slice({tokens}, case when k = 0 then 1 else _at[k - 1] + 3 end, _at[k] - case when k = 0 then 0 else _at[k - 1] + 2 end),
+              array(concat_ws('_', {tokens}[_at[k]], {tokens}[_at[k] + 1]))))),
+            slice({tokens}, element_at(_at, -1) + 3, size({tokens})))"""
     )
-    return joined.withColumn(tokens, F.when(F.size(tokens) > 0, step).otherwise(F.col(tokens))).drop("_row", "at")
+    joined = keyed.join(at, "_text", "left")
+    return joined.withColumn(tokens, F.when(F.col("_at").isNotNull(), merged).otherwise(F.col(tokens))).drop("_text", "_at").select(*rows.columns)
+
+
+def triples(rows: DataFrame, threshold: float = 10.0, min_count: int = 5, tokens: str = "ws") -> DataFrame:
+    """Rows with phrases of two words joined, then those of two such units: the second round makes up to four words one."""
+    pairs = apply_phrases(rows, phrases(rows, threshold, min_count, tokens), tokens)
+    return apply_phrases(pairs, phrases(pairs, threshold, min_count, tokens), tokens)
 
 
-def corpus(rows: DataFrame, stop: list[str], least: int = 50) -> DataFrame:
-    """(id, ws): sounds off, short calls out, stop words off, words of a call together as a bag."""
+def corpus(rows: DataFrame, stop: list[str], least: int = 50, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, ws): sounds off, short calls out, stop words off, words of a call together as a bag; with ``lemma`` each word as its lemma."""
     kept = enough_words(remove_non_verbal(rows), least)
-    return kept.withColumn("ws", remove_stop_words(F.col("ws"), stop))
+    plain = kept.withColumn("ws", remove_stop_words(F.col("ws"), stop))
+    return plain if lemma is None else plain.withColumn("ws", F.transform("ws", lemma))
 
 
 def train_topics(bag: DataFrame, k: int, iterations: int = 10, seed: int = 1, key: str = "id"):
-    """(LDA model, vocabulary) of trimmed bags of words; words are numbered by Spark, counts stay distributed."""
+    """(LDA model, vocabulary) of trimmed bags of words, all of whose words count; words are numbered by Spark, counts stay distributed."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     docs = bag.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat("word", F.col("tf").cast("int")))).alias("ws"))
-    counted = CountVectorizer(inputCol="ws", outputCol="features", vocabSize=100_000).fit(docs)
+    counted = CountVectorizer(inputCol="ws", outputCol="features", vocabSize=2**31 - 1).fit(docs)
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counted.transform(docs))
     return model, counted.vocabulary
 

@@ -270,6 +270,12 @@ def phrase_apply(spark, sf):
     return done.select("result_id", F.array_join("ws", " ").alias("text"))
 
 
+def phrase_triples(spark, sf):
+    """The second round: phrases of phrases."""
+    rows = _segments(spark, sf).where("text_basic is not null").select(F.col("tie").alias("result_id"), tx.words("text_basic").alias("ws"))
+    return topics.triples(rows, PHRASE_THRESHOLD).select("result_id", F.array_join("ws", " ").alias("text"))
+
+
 def _bag(spark, sf):
     return topics.trim_vocabulary(topics.bag_of_words(topics.corpus(_tokens(spark, sf), STOP)))
 
@@ -296,7 +302,7 @@ QUERIES = {
         graph_counts, graph_loops, graph_connectivity, graph_features, non_verbal_ratios,
         ms_timing, ms_timing_day, call_activity, call_activity_split, kaldi_timing, kaldi_confidence, kaldi_confidence_day, kaldi_confidence_week, kaldi_confidence_subject, kaldi_confidence_segment, confidence_stats, confidence_by_feature, describe5_lineitem,
         level_call, level_day, call_type_filter, call_durations,
-        hypothesis_mean, stopword_filter, sound_filter, min_words_filter, bag_of_words, vocab_trim, phrase_scores, phrase_apply, topics_lda, topic_coherence, topic_sweep,
+        hypothesis_mean, stopword_filter, sound_filter, min_words_filter, bag_of_words, vocab_trim, phrase_scores, phrase_apply, phrase_triples, topics_lda, topic_coherence, topic_sweep,
     )
 }
 
@@ -423,6 +429,22 @@ SQL: dict[str, str] = {
  bi as (select p.a as a, p.b as b, count(*) as n_ab from (select unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) as p from tok where len(ws) > 1) group by all), v as (select (select count(*) from uni) + (select count(*) from bi) as v)
  select * from (select bi.a, bi.b, n_ab, round((n_ab - 5) * cast(v as double) / (x.n * y.n), 6) as score from bi join uni x on bi.a = x.w join uni y on bi.b = y.w, v where n_ab > 5) where score > {PHRASE_THRESHOLD}""",
 }
+
+
+def _phrase_sql(n: int, least: int = 5) -> str:
+    """Round n of phrases: ``t{n-1}`` (result_id, ws) -> ``t{n}``; greedy from left to right, one step a word."""
+    t = f"t{n - 1}"
+    return f"""u{n} as (select w, count(*) as n from (select unnest(ws) as w from {t}) group by w),
+ b{n} as (select p.a as a, p.b as b, count(*) as n_ab from (select unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i + 1]}})) as p from {t} where len(ws) > 1) group by all),
+ f{n} as (select b{n}.a, b{n}.b from b{n} join u{n} x on a = x.w join u{n} y on b = y.w, (select (select count(*) from u{n}) + (select count(*) from b{n}) as v) where n_ab > {least} and (n_ab - {least}) * cast(v as double) / (x.n * y.n) > {PHRASE_THRESHOLD}),
+ g{n}(result_id, ws, i, done) as (select result_id, ws, 1, cast([] as varchar[]) from {t} union all select result_id, ws, case when f.a is not null then i + 2 else i + 1 end, list_append(done, case when f.a is not null then ws[i] || '_' || ws[i + 1] else ws[i] end)
+ from g{n} left join f{n} f on f.a = ws[i] and f.b = ws[i + 1] where i <= len(ws)), t{n} as (select result_id, done as ws from g{n} where i > len(ws))"""
+
+
+_T0 = f"t0 as (select tie as result_id, string_split(text_basic, ' ') as ws from seg where text_basic is not null)"
+SQL["phrase_apply"] = f"with recursive {_SEG}, {_T0}, {_phrase_sql(1)} select result_id, array_to_string(ws, ' ') as text from t1"
+SQL["phrase_triples"] = f"with recursive {_SEG}, {_T0}, {_phrase_sql(1)}, {_phrase_sql(2)} select result_id, array_to_string(ws, ' ') as text from t2"
+
 for _level, _cols, _join in (("", "call_id", ""), ("_day", "subject_id, day", "join meta using (call_id)"), ("_week", "subject_id, week", "join (select *, strftime(date_trunc('week', cast(day as date)), '%Y-%m-%d') as week from meta) using (call_id)"), ("_subject", "subject_id", "join meta using (call_id)"), ("_segment", "segment_id", "")):
     _lines = f"""ln as (select {sql_key("call_id")} as call_id, string_split(conf_scores, ' ')[1] as segment_id, case when regexp_matches(string_split(conf_scores, ' ')[6], '{files.NUMBER}') then try_cast(string_split(conf_scores, ' ')[6] as double) end as conf from conf_sym where len(string_split(conf_scores, ' ')) = 6)"""
     SQL[f"kaldi_confidence{_level}"] = f"with {_META}, {_lines} select {_cols}, {_d5('conf', 'conf')} from ln {_join} where call_id is not null and conf is not null and not isnan(conf) group by {_cols}"

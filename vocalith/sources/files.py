@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,14 +44,19 @@ def recognizer_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], RESULTS)
 
 
+def _dimension(spark: SparkSession, path: str) -> DataFrame:
+    """A dimension from Parquet (a path that ends so) or CSV."""
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.options(**_CSV).csv(path)
+
+
 def call_metadata(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.options(**_CSV).csv(path)
+    rows = _dimension(spark, path)
     return rows.withColumn("call_ts", F.col("call_datetime").try_cast("timestamp")).withColumn("day", F.to_date("call_ts"))
 
 
 def call_durations(spark: SparkSession, path: str) -> DataFrame:
     """duration_ms, or duration where that column is missing, as duration_sec beside the file's columns."""
-    rows = spark.read.options(**_CSV).csv(path)
+    rows = _dimension(spark, path)
     ms = F.col("duration_ms") if "duration_ms" in rows.columns else F.col("duration")
     return rows.withColumn("duration_sec", ms.try_cast("double") * 1e-3)
 
@@ -85,9 +90,7 @@ def parse_alignments(files: DataFrame) -> DataFrame:
 def hypotheses(spark: SparkSession, root: str) -> DataFrame:
     """(call_id, hyp_no, segment_id, text): every file in <root>/<call_id>/ is one hypothesis, numbered by file name."""
     lines = spark.read.text(f"{root}/*/*").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("call_id"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
-    files = lines.select("call_id", "file").distinct()
-    other = files.withColumnRenamed("file", "before")
-    ranked = files.join(other, "call_id").groupBy("call_id", "file").agg((F.sum((F.col("before") < F.col("file")).cast("int"))).alias("hyp_no"))  # a few files a call
+    ranked = lines.select("call_id", "file").distinct().withColumn("hyp_no", F.row_number().over(Window.partitionBy("call_id").orderBy("file")) - 1)
     return lines.join(ranked, ["call_id", "file"]).select("call_id", "hyp_no", F.regexp_extract("value", r"^(\S*)", 1).alias("segment_id"), F.regexp_replace("value", r"^\S*\s?", "").alias("text"))
 
 
