@@ -102,3 +102,46 @@ def test_estimate_fills_a_site_without_zone(spark):
 
     want = {i: 1704067200000000 + (i - 1) * 86_400_000_000 + 3_600_000_000 for i in range(1, 20)}  # 01:00 UTC
     assert {r.row_id: r.utc_us for r in normalise(df, "row", "t", "got", sites).collect()} == want
+
+
+def planted(spark, zone_of_day, declared):
+    """A site whose wall times follow zone_of_day(day), ingested within 12 minutes; some texts name their offset."""
+    rows = []
+    for day in range(400):
+        for k in range(3):
+            zone = ZoneInfo(zone_of_day(day))
+            wall = dt.datetime(2021, 1, 1, 9, 7) + dt.timedelta(days=day, hours=k, minutes=day % 50)
+            utc = wall.replace(tzinfo=zone).astimezone(dt.timezone.utc).replace(tzinfo=None)
+            text = wall.strftime("%Y-%m-%d %H:%M") if k else utc.strftime("%Y-%m-%dT%H:%MZ")
+            rows.append((day * 3 + k, "X", text, utc + dt.timedelta(minutes=(day * 7 + k) % 12), int((utc - EPOCH).total_seconds()) * 1_000_000))
+    df = spark.createDataFrame(rows, "row bigint, site_id string, t string, got timestamp, want bigint")
+    sites = spark.createDataFrame([("X", declared, "YMD", None, None), *((z, z, "YMD", None, None) for z in ("Europe/London", "Europe/Berlin", "Asia/Tokyo", "America/New_York"))], "site_id string, tz_name string, date_order string, std_abbr string, dst_abbr string")
+    return df, sites
+
+
+def test_wrong_declaration_is_found(spark):
+    """The estimate decides, an hour is told apart, and the mismatch is reported."""
+    df, sites = planted(spark, lambda day: "Europe/London", "Europe/Berlin")
+    read = m.read_sources([("x", df, "row", "t", "got")], sites)
+    found = m.histories(read, sites).collect()
+    assert [(r.entity, r.from_us, r.zone, r.declared, r.agrees) for r in found] == [("X", None, "Europe/London", "Europe/Berlin", False)]
+    want = {r.row: r.want for r in df.collect()}
+    assert {r.row_id: r.utc_us for r in m.normalise(df, "row", "t", "got", sites).collect()} == want
+
+
+def test_history_that_changes(spark):
+    """From a month on the site writes another zone's time."""
+    df, sites = planted(spark, lambda day: "Europe/Berlin" if day < 181 else "Asia/Tokyo", "Europe/Berlin")
+    read = m.read_sources([("x", df, "row", "t", "got")], sites)
+    found = sorted((r.from_us or 0, r.zone, r.agrees) for r in m.histories(read, sites).collect())
+    assert found == [(0, "Europe/Berlin", True), (us(2021, 7, 1), "Asia/Tokyo", False)]
+    want = {r.row: r.want for r in df.collect()}
+    assert {r.row_id: r.utc_us for r in m.normalise(df, "row", "t", "got", sites).collect()} == want
+
+
+def test_unknown_regions_and_zones(spark):
+    """A region or a declared zone that there isn't states no moment, and ends no query."""
+    sites = spark.createDataFrame([("a", "Mars/Olympus", "DMY", None, None)], "site_id string, tz_name string, date_order string, std_abbr string, dst_abbr string")
+    rows = [(1, "a", "2024-03-01 10:00 Europe/Atlantis"), (2, "a", "2024-03-01 10:00 europe/berlin"), (3, "a", "2024-03-01 10:00")]
+    df = spark.createDataFrame([(i, s, t, dt.datetime(2024, 3, 1, 10)) for i, s, t in rows], "row bigint, site_id string, t string, got timestamp")
+    assert {r.row_id: r.utc_us for r in m.normalise(df, "row", "t", "got", sites).collect()} == {2: us(2024, 3, 1, 9)}

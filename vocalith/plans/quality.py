@@ -14,21 +14,18 @@ from vocalith.session import table
 PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
+def _timed(spark: SparkSession, sf: str):
+    return [("metadata", table(spark, sf, "metadata"), "meta_id", "call_datetime", "loaded_at"), ("call_durations", table(spark, sf, "call_durations"), "dur_id", "call_datetime", "received_at")]
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    sites = table(spark, sf, "sites")
-    meta = moments.normalise(table(spark, sf, "metadata"), "meta_id", "call_datetime", "loaded_at", sites)
-    durations = moments.normalise(table(spark, sf, "call_durations"), "dur_id", "call_datetime", "received_at", sites)
-    name = lambda d, t: d.select(F.lit(t).alias("table_name"), "row_id", "utc_us")
-    return name(meta, "metadata").unionByName(name(durations, "call_durations"))
+    return moments.normalise_sources(_timed(spark, sf), table(spark, sf, "sites"))
 
 
 def p1_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """The history estimated for each site from metadata alone, without the declared one, beside it."""
+    """The history estimated for each site from both tables, without credit for the declared one, which stands beside it."""
     sites = table(spark, sf, "sites")
-    placed = table(spark, sf, "metadata").join(F.broadcast(sites), "site_id")
-    read = moments.read_moments(placed, "call_datetime", "date_order", ["site_id", "loaded_at"]).where("kind = 'local'")
-    found = moments.estimate_zones(read, "site_id", "loaded_at", sites)
-    return found.join(F.broadcast(sites.select("site_id", F.col("tz_name").alias("declared"))), "site_id")
+    return moments.histories(moments.read_sources(_timed(spark, sf), sites), sites, trust=0.0).withColumnRenamed("entity", "site_id")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
