@@ -1,14 +1,43 @@
-"""Queries pN_ of problems 7 to 9."""
+"""Queries pN_ of problems 6 to 9."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import mixing, packing, sentences, tokens
+from vocalith.llm import digests, mixing, packing, sentences, tokens
 from vocalith.session import cut_lineage, spread, table
 
 
+#: Percentiles of the digest report.
+PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.low_median_features(table(spark, sf, "recognition_results"))
+
+
+def _percentiles(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Percentiles of each feature from the merged digests of its months, with the certified rank error; and the number of clusterings."""
+    rows = digests.confidences(table(spark, sf, "recognition_results")).withColumn("month", F.date_format("received_at", "yyyy-MM"))
+    keys = ["feature_id", "month"]
+    parts = digests.parts_for(rows, keys)
+    monthly, levels = digests.merge_parts(digests.confidence_digests(rows, keys, parts), keys, parts)
+    answers = digests.quantiles(digests.merge(monthly, ["feature_id"]), ["feature_id"], PROBS)
+    return digests.certify(rows, ["feature_id"], "confidence", answers, max(8, parts)), levels + 1
+
+
+def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return _percentiles(spark, sf)[0]
+
+
+def p6_certified(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the certified rank error of each percentile is within the bound that the digests promise."""
+    found, levels = _percentiles(spark, sf)
+    within = F.col("rank_error") <= digests.rank_bound(levels) + 1 / F.col("n")
+    return found.select("feature_id", "prob", "n", within.alias("within"))
+
+
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     """Texts are tokenised once; their sizes are a narrow table."""
     return cut_lineage(tokens.sized(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), "doc_id", "source"))
@@ -44,7 +73,10 @@ def p9_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "sent_start", cut.alias("sentence"))
 
 
-QUERIES = {f.__name__: f for f in (p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_text)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_percentiles, p6_certified, p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_text)}
 
 #: SQL counterparts, by query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": "select feature_id from recognition_results where feature_id is not null and confidence between 0 and 1 and not isnan(confidence) group by feature_id having count(*) >= 30 and quantile_cont(confidence, 0.5) < 0.5",
+    "p6_certified": f"select feature_id, prob, n, true as within from (select feature_id, count(*) as n from recognition_results where feature_id is not null and confidence between 0 and 1 and not isnan(confidence) group by feature_id), (select unnest([{', '.join(f'cast({p} as double)' for p in PROBS)}]) as prob)",
+}
