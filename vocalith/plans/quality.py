@@ -1,4 +1,4 @@
-"""Queries pN_ of problems 1 to 6."""
+"""Queries pN_ of problems 1 to 5."""
 
 from __future__ import annotations
 
@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.functions.keys import clean_key
-from vocalith.operators import dewey, digests, intervals, moments, orphans, rejects
+from vocalith.operators import dewey, intervals, moments, orphans, rejects
 from vocalith.functions.literals import with_word_list
 from vocalith.session import table
 
-#: Percentiles of the digest report.
-PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-
-
 def _timed(spark: SparkSession, sf: str):
     return [("metadata", table(spark, sf, "metadata"), "meta_id", "call_datetime", "loaded_at"), ("call_durations", table(spark, sf, "call_durations"), "dur_id", "call_datetime", "received_at")]
 
@@ -114,19 +110,7 @@ def p5_keys(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_keys(*_orphans(spark, sf))
 
 
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return digests.low_median_features(table(spark, sf, "recognition_results"))
-
-
-def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of each feature from the merged digests of its months, with the certified rank error."""
-    rows = table(spark, sf, "recognition_results").where(F.col("feature_id").isNotNull() & digests.usable()).withColumn("month", F.date_format("received_at", "yyyy-MM")).withColumn("part", F.pmod(F.hash("result_id"), F.lit(8)))
-    monthly = digests.build(rows, ["feature_id", "month", "part"], "confidence")
-    merged = digests.merge(monthly, ["feature_id"])
-    return digests.certify(rows, ["feature_id"], "confidence", digests.quantiles(merged, ["feature_id"], PROBS))
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_alternatives, p4_found, p4_loaded, p4_loaded_words, p4_loaded_lines, p5_found, p5_report, p5_keys, p6_found, p6_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_alternatives, p4_found, p4_loaded, p4_loaded_words, p4_loaded_lines, p5_found, p5_report, p5_keys)}
 
 def _sql() -> dict[str, str]:
     from vocalith.plans.reference import SQL_JSON, sql_key
@@ -144,7 +128,6 @@ def _sql() -> dict[str, str]:
         "p5_found": f"{p5} select * from orph",
         "p5_report": f"{p5} select table_name, period_month, reason, count(*) as n_rows from orph group by all",
         "p5_keys": f"with child as (select * from ({child}) where k is not null) select table_name, k as key, count(*) as n_rows from child where k not in (select k from (select {sql_key('call_id')} as k from metadata) where k is not null) group by all",
-        "p6_found": "select feature_id from recognition_results where feature_id is not null and confidence between 0 and 1 and not isnan(confidence) group by feature_id having count(*) >= 30 and quantile_cont(confidence, 0.5) < 0.5",
     }
 
 
