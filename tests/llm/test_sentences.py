@@ -110,3 +110,69 @@ def test_on_spark(spark):
     assert abs(len(got) - truth) <= 0.02 * truth
     empty = docs.where("false")
     assert st.split_sentences(empty, st.train(empty)).count() == 0
+
+
+def test_mixed_scripts_in_one_block():
+    from collections import defaultdict
+
+    found = None
+    texts = corpus() + ["Hello there.", "Next one here.", "And more.", "This is fine."] * 20
+    for _ in range(2):
+        tables = {s: defaultdict(lambda: [0.0, 0.0]) for s in ("left", "right", "follow")}
+        for x in texts:
+            st.document_counts(x, found, tables["left"], tables["right"], tables["follow"])
+        found = st.next_model(tables, found)
+    assert split("Hello there. This is ภาษา word. Next one here. And more.", found) == ["Hello there.", "This is ภาษา word.", "Next one here.", "And more."]
+
+
+def test_thai_blanks_are_decided_by_the_model():
+    """A blank whose words stand at no end and no start of a line is none, though nothing but the model speaks against it."""
+    from collections import defaultdict
+
+    found = None
+    lines = ["ผู้โทรพูด พยาบาลถาม", "พยาบาลถาม ผู้โทรพูด", "ผู้โทรพูด", "พยาบาลถาม", "ผู้โทรพูด คืกคัก นานมาก", "พยาบาลถาม คืกคัก นานมาก"] * 30
+    for _ in range(2):
+        tables = {s: defaultdict(lambda: [0.0, 0.0]) for s in ("left", "right", "follow")}
+        for x in lines:
+            st.document_counts(x, found, tables["left"], tables["right"], tables["follow"])
+        found = st.next_model(tables, found)
+    assert split("ผู้โทรพูด พยาบาลถาม คืกคัก นานมาก", found) == ["ผู้โทรพูด", "พยาบาลถาม", "คืกคัก นานมาก"]
+
+
+def test_no_caps(model):
+    """Long words, long speaker names, narrow and wide pages."""
+    name = "Doctor " + "Velmora-" * 20 + "Quillane"
+    assert split(f"{name}: The caller paused. She asked again.", model) == [f"{name}: The caller paused.", "She asked again."]
+    word = "pa" * 400
+    assert split(f"The caller {word}. She paused.", model) == [f"The caller {word}.", "She paused."]
+    long = "The caller laughed quietly because the trainee and the nurse asked again about the long silence in the middle of the call. She paused, and then the whole team spoke faster and faster until the very end of the long call, which nobody had expected on that day."
+    for width in (30, 240):
+        text = textwrap.fill(" ".join([long] * (1 if width == 30 else 8)), width)
+        got = [" ".join(x.split()) for x in split(text, model)]
+        assert got == re.split(r"(?<=call\.) ", long) * (1 if width == 30 else 8)
+
+
+def test_both_ways_of_reading_agree():
+    """Phrases and single words give the same events."""
+    import numpy as np
+
+    texts = [x for x in corpus()[:60]] + ["1. Dr. J. K. Velmora (e.g. app. B) said: “Stop. Now.” z.B. «Oui !» dit-il. ¿Sí?La 3.5 won't. A: “No.”", "- one two. - three"]
+    a, b = st.read(texts), st.read([*texts, "ก ข"])
+    for name in ("block", "end", "next", "left", "left_shape", "script", "right", "right_shape", "context", "gap", "inside", "quoted"):
+        x, y = getattr(a, name), getattr(b, name)
+        assert np.array_equal(x, y[: len(x)]), name
+
+
+def test_buckets_keep_every_type(spark):
+    """The distributed fold is the one in memory, and crowded buckets lose no counts."""
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(corpus())], "doc_id bigint, text string")
+    counted = st.expected_counts(docs, None)
+    for buckets in (64, 1 << 14):
+        folded = st.fold(counted, buckets).toPandas()
+        hashed = folded[folded["side"] == st.PAIR]
+        whole = counted.where(f"side <= {st.PAIR}").toPandas()[["no", "yes"]].sum()
+        for row in (0, 1):
+            own = hashed[hashed["row"] == row][["no", "yes"]].sum()
+            assert abs(own - whole).max() < 1e-6
+        h = counted.where(f"side <= {st.PAIR}").toPandas()["key"].to_numpy().view("uint64")
+        assert set(hashed[hashed["row"] == 0]["key"]) == set(st._slots(h, buckets)[0]) and set(hashed[hashed["row"] == 1]["key"]) == set(st._slots(h, buckets)[1])
