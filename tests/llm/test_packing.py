@@ -79,3 +79,45 @@ def test_report(spark):
     df = spark.createDataFrame([(1, 60, ""), (2, 4, ""), (3, 64, "")], TYPE)
     r = packing.packing_report(packing.pack(df, capacities(spark, 64)), capacities(spark, 64)).first()
     assert (r.n_bins, r.n_pieces, r.filled) == (2, 3, 1.0)
+
+
+def test_harmonic(spark):
+    """Texts whole, bins within capacity, and k texts of class k in all bins but one a class and salt."""
+    rng = random.Random(5)
+    sizes = {i: int(rng.lognormvariate(3.5, 1.2)) for i in range(1500)} | {9000: 0, 9001: 64, 9002: 65, 9003: 6400, 9004: 1}
+    caps = (64, 512)
+    df = spark.createDataFrame([(d, n, "clash") for d, n in sizes.items()], TYPE)
+    packed = packing.harmonic(df, capacities(spark, *caps), salts=3).collect()
+    check(packed, sizes, caps)
+    held = defaultdict(list)
+    for r in packed:
+        if r.n_tokens:
+            held[r.capacity_id, r.bin_id].append(caps[r.capacity_id] // r.n_tokens)
+    few = defaultdict(int)
+    for (c, _), ks in held.items():
+        assert len(set(ks)) == 1
+        few[c, ks[0]] += len(ks) < ks[0]
+    assert max(few.values()) <= 3
+    for c in range(2):
+        numbers = {b for x, b in held if x == c}
+        assert numbers == set(range(len(numbers)))
+
+
+def test_checks_see_faults(spark):
+    df = spark.createDataFrame([(1, 60, ""), (2, 4, ""), (3, 64, ""), (4, 0, "")], TYPE)
+    good = packing.pack(df, capacities(spark, 64))
+    assert packing.packing_checks(good, df, capacities(spark, 64)).first().asDict() == {"capacity_id": 0, "n_texts": 4, "n_empty": 1, "n_lost": 0, "n_cut": 0, "n_over": 0}
+    bad = good.withColumn("bin_id", good.bin_id * 0).where("doc_id <> 2")
+    r = packing.packing_checks(bad, df, capacities(spark, 64)).where("capacity_id is not null").first()
+    assert (r.n_over, r.n_texts) == (1, 3)
+
+
+def test_repeated_rows_and_nulls(spark):
+    df = spark.createDataFrame([(1, 40, "")] * 5 + [(2, None, ""), (None, 200, ""), (None, 200, "")], TYPE)
+    for f in (packing.pack, packing.harmonic):
+        rows = f(df, capacities(spark, 64)).collect()
+        used = defaultdict(int)
+        for r in rows:
+            if r.n_tokens:
+                used[r.bin_id] += r.n_tokens
+        assert sum(r.n_tokens for r in rows) == 5 * 40 + 400 and max(used.values()) <= 64

@@ -87,6 +87,17 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, total: float | None
     return both.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
 
 
+def mix_checks(mixed: DataFrame, sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """Per target source what has to hold of ``mixed``: capped (no text repeated too often), even (repeats of two texts differ by one at most), near (within one text of the tokens that water-filling gives)."""
+    plan = plan_mix(sized, targets, total)
+    texts = sized.select(F.col("doc_id"), source_name().alias("source"), "n_tokens").where("source is not null")
+    most = texts.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most"), F.min("repeats").alias("least"), F.count("*").alias("n"))
+    full = plan.join(got, "source", "left").join(most, "source", "left").na.fill(0, ["tokens", "most", "least", "n", "longest"])
+    least = F.when(F.col("n") < F.col("n_docs"), 0).otherwise(F.col("least"))  # texts that aren't in the mix
+    return full.select("source", "max_repeats", F.when(F.col("n_docs") > 0, F.col("n_docs")).alias("n_docs"), (F.col("most") <= F.col("max_repeats")).alias("capped"), (F.col("most") - least <= 1).alias("even"), (F.abs(F.col("tokens") - F.col("wanted_tokens")) <= F.col("longest")).alias("near"))
+
+
 def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """Per target source: target and actual share, epochs, and whether the cap holds it down."""
     plan = plan_mix(sized, targets, total)
