@@ -113,6 +113,7 @@ def p5_keys(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_alternatives, p4_found, p4_loaded, p4_loaded_words, p4_loaded_lines, p5_found, p5_report, p5_keys)}
 
 def _sql() -> dict[str, str]:
+    from vocalith.plans.moments_sql import p1_sql
     from vocalith.plans.reference import SQL_JSON, sql_key
 
     rows = f"""rows as (select result_id, {sql_key("audio_file_id")} as k, "offset" as off, duration, word_timing from recognition_results where {sql_key("audio_file_id")} is not null)"""
@@ -124,6 +125,7 @@ def _sql() -> dict[str, str]:
     p5 = f"""with child as (select * from ({child}) where k is not null), par as (select {sql_key("call_id")} as k, loaded_at, deleted_at from metadata), st as (select table_name, row_id, ts, count(par.k) as n, count(case when loaded_at <= ts and (deleted_at is null or deleted_at > ts) then 1 end) as alive, count(case when loaded_at > ts then 1 end) as later
  from child left join par on child.k = par.k group by table_name, row_id, ts), orph as (select table_name, row_id, strftime(ts, '%Y-%m') as period_month, case when n = 0 then 'missing' when later = n then 'late' else 'deleted' end as reason from st where alive = 0)"""
     return {
+        "p1_found": p1_sql(),
         "p2_found": p2,
         "p5_found": f"{p5} select * from orph",
         "p5_report": f"{p5} select table_name, period_month, reason, count(*) as n_rows from orph group by all",

@@ -13,6 +13,7 @@ from vocalith.functions.stats import describe5
 from vocalith.operators import features, graphs, topics
 from vocalith.operators import segments as sg
 from vocalith.plans import pipeline
+from vocalith.plans.moments_sql import days_cte
 from vocalith.session import spread, table
 from vocalith.sources import files
 
@@ -338,8 +339,9 @@ _FEAT = """seg as (select nullif(feature_id, '') as id, coalesce(seg_order, segm
 _SENT = f"""{_SEG}, joined as (select id, string_agg(coalesce(text, 'nan'), ' ' order by ord, tie) as t from seg group by id),
  sent as (select id, lower({_sql_clean("x")}) as s from (select id, unnest({_sql_sentences("t")}) as x from joined))"""
 _WORDS = "words as (select id, string_split(string_agg(coalesce(text_basic, 'nan'), ' ' order by ord, tie), ' ') as ws from seg group by id)"
-_META = f"""meta as (select k as call_id, arg_max(subject_id, (loaded_at, meta_id)) as subject_id, arg_max_null(flag, (loaded_at, meta_id)) as is_assessment, max(strftime(loaded_at, '%Y-%m-%d')) as day
- from (select {sql_key("call_id")} as k, *, case when lower(trim(is_assessment)) in ('t','true','1','yes','y') then true when lower(trim(is_assessment)) in ('f','false','0','no','n') then false end as flag from metadata) where k is not null group by k)"""
+_META = f"""{days_cte(sql_key("call_id"))}, meta as (select m.*, day from (select k as call_id, arg_max(subject_id, (loaded_at, meta_id)) as subject_id, arg_max_null(flag, (loaded_at, meta_id)) as is_assessment
+ from (select {sql_key("call_id")} as k, *, case when lower(trim(is_assessment)) in ('t','true','1','yes','y') then true when lower(trim(is_assessment)) in ('f','false','0','no','n') then false end as flag from metadata) where k is not null group by k) m left join days on m.call_id = days.k)"""
+_DAY_ID = "concat_ws('_', subject_id, coalesce(day, 'NaT'))"
 _DUR = f"""dur as (select k as call_id, coalesce(sum(ms), 0.0) * 1e-3 as duration_s from (select {sql_key("call_id")} as k, coalesce(duration_ms, duration) as ms from call_durations) where k is not null group by k)"""
 _HONORE = "select id, round(100 * ln(n / (1 - v1 / (v + 1e-5))), 6) as HS from (select id, cast(sum(c) as double) as n, cast(count(*) as double) as v, cast(sum(case when c = 1 then 1 else 0 end) as double) as v1 from (select id, w, count(*) as c from (select id, unnest(ws) as w from words) group by id, w) group by id)"
 
@@ -412,7 +414,7 @@ SQL: dict[str, str] = {
     "confidence_by_feature": f"with {_FEAT} select id, {_d5('confidence', 'conf')} from seg where confidence is not null and not isnan(confidence) group by id",
     "describe5_lineitem": f"select l_returnflag, l_linestatus, {_d5('l_quantity', 'qty')}, {_d5('l_extendedprice', 'price')} from lineitem group by all",
     "level_call": f"with {_SEG}, {_META} select id, count(*) as n_segments from seg where id in (select call_id from meta) group by id",
-    "level_day": f"with {_SEG}, {_META} select concat_ws('_', subject_id, day) as id, count(*) as n_segments from seg join meta on seg.id = meta.call_id group by 1",
+    "level_day": f"with {_SEG}, {_META} select {_DAY_ID} as id, count(*) as n_segments from seg join meta on seg.id = meta.call_id group by 1",
     "call_type_filter": f"with {_META} select call_id, subject_id, is_assessment, day from meta where is_assessment",
     "call_durations": f"with {_DUR} select call_id, round(duration_s, 6) as duration_s from dur",
     "hypothesis_mean": f"""with {_SEG}, h as (select id, 0 as hyp, text as t from seg where text is not null union all select id, 1, text_basic from seg where text_basic is not null), w as (select id, hyp, string_split(t, ' ') as ws from h),
@@ -468,10 +470,10 @@ def _timing_sql(total: str) -> str:
 
 
 _CALL_TOTAL = "(select call_id as id, duration_s from dur)"
-_DAY_TOTAL = "(select concat_ws('_', subject_id, day) as id, sum(duration_s) as duration_s from meta join dur using (call_id) group by 1)"
+_DAY_TOTAL = f"(select {_DAY_ID} as id, sum(duration_s) as duration_s from meta join dur using (call_id) group by 1)"
 _BY_DAY = f"seg0 as (select * from seg), {_META}"
 _ACTIVITY = ", ".join(features.CALL_ACTIVITY)
-_SEG_DAY = _SEG.replace("seg as (select", "seg1 as (select", 1) + f", {_META}, seg as (select concat_ws('_', subject_id, day) as id, off, duration, word_timing from seg1 join meta on seg1.id = meta.call_id)"
+_SEG_DAY = _SEG.replace("seg as (select", "seg1 as (select", 1) + f", {_META}, seg as (select {_DAY_ID} as id, off, duration, word_timing from seg1 join meta on seg1.id = meta.call_id)"
 SQL["ms_timing"] = f"with {_SEG}, {_DUR}, {_MEASURES}, {_timing_sql(_CALL_TOTAL)} select * from timing"
 SQL["call_activity"] = f"with {_SEG}, {_DUR}, {_MEASURES}, {_timing_sql(_CALL_TOTAL)} select id, {_ACTIVITY} from timing"
 SQL["ms_timing_day"] = f"with {_SEG_DAY}, {_DUR}, {_MEASURES}, {_timing_sql(_DAY_TOTAL)} select * from timing"
