@@ -52,13 +52,17 @@ def _children(value: str, level: Level) -> str:
     return f"coalesce({', '.join(options)}, cast(array() as array<variant>))"
 
 
-def dewey_nodes(df: DataFrame, root: str, levels: tuple[Level, ...]) -> DataFrame:
-    """Adds to each row of ``df`` its nodes: ``label`` array<int>, ``path`` (level name), ``value`` variant, and per level the value on the way (``n_<level>``).
+def dewey_nodes(df: DataFrame, root: str, levels: tuple[Level, ...], carry: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Turns each row of ``df`` into its nodes: ``label`` array<int>, ``path`` (level name) and ``value`` variant, beside the row's other columns.
 
     Null elements are counted in ordinals but are no nodes; elements that are no objects are none either. A null or
-    unreadable root has no nodes. The other columns of ``df`` are kept.
+    unreadable root has no nodes. A node carries its own value and nothing of its ancestors but what ``carry`` names: per
+    level a column and the expression over ``_at`` that fills it there and below.
     """
-    df = df.withColumn("_at", F.col(root)).withColumn("label", F.expr("cast(array() as array<int>)")).withColumn("path", F.lit("record"))
+    carry = carry or {}
+    df = df.withColumn("_at", F.col(root)).withColumn("value", F.col(root)).drop(root).withColumn("label", F.expr("cast(array() as array<int>)")).withColumn("path", F.lit("record"))
+    for name, expression in carry.values():
+        df = df.withColumn(name, F.expr(f"case when false then {expression} end"))
     for level in levels:
         if level.literal:
             df = with_list(df.withColumn("_text", F.expr(f"case when schema_of_variant(try_variant_get(_at, '$.{level.member}', 'variant')) = 'STRING' then try_variant_get(_at, '$.{level.member}', 'string') end")), "_text", "_literal").drop("_text")
@@ -70,12 +74,14 @@ def dewey_nodes(df: DataFrame, root: str, levels: tuple[Level, ...]) -> DataFram
             df.where("_pos = 0 or schema_of_variant(_kid) like 'OBJECT%'")
             .withColumn("label", F.when(F.col("_pos") > 0, F.concat("label", F.array(F.col("_pos") - 1))).otherwise(F.col("label")))
             .withColumn("path", F.when(F.col("_pos") > 0, F.lit(level.name)).otherwise(F.col("path")))
-            .withColumn(f"n_{level.name}", F.col("_kid"))
+            .withColumn("value", F.coalesce("_kid", "value"))
             .withColumn("_at", F.col("_kid"))
-            .drop("_pos", "_kid")
         )
-    value = F.coalesce(*(F.col(f"n_{x.name}") for x in reversed(levels)), F.col(root))
-    return df.withColumn("value", value).drop("_at")
+        if level.name in carry:
+            name, expression = carry[level.name]
+            df = df.withColumn(name, F.when(F.col("_pos") > 0, F.expr(expression)).otherwise(F.col(name)))
+        df = df.drop("_pos", "_kid")
+    return df.drop("_at")
 
 
 def parent_label(label: str = "label"):
@@ -87,4 +93,5 @@ def payload_nodes(payloads: DataFrame) -> DataFrame:
     """Nodes of result_payloads; ``result`` around the record is taken off. Unreadable or null payloads have none."""
     read = payloads.select(F.col("payload_id").alias("parent_id"), F.expr("try_parse_json(payload)").alias("_doc"))
     root = read.withColumn("root", F.expr("case when try_cast(try_variant_get(_doc, '$.result', 'variant') as map<string,variant>) is not null then try_variant_get(_doc, '$.result', 'variant') else _doc end")).drop("_doc")
-    return dewey_nodes(root.withColumn("audio_file_id", F.expr("try_variant_get(root, '$.audio_file_id', 'string')")), "root", PAYLOAD_LEVELS)
+    number = {"segment": ("segment_number", "try_variant_get(_at, '$.segment_number', 'bigint')")}
+    return dewey_nodes(root.withColumn("audio_file_id", F.expr("try_variant_get(root, '$.audio_file_id', 'string')")), "root", PAYLOAD_LEVELS, number)

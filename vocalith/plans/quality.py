@@ -29,39 +29,63 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recognition_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The words and phones of good word timings; the row itself is the segment. Labels are of word and phone."""
     rows = table(spark, sf, "recognition_results").select(F.col("result_id").alias("parent_id"), F.coalesce(clean_key("audio_file_id"), F.lit("")).alias("audio_file_id"), F.coalesce("segment_number", F.lit(-1)).cast("bigint").alias("segment_number"), "word_timing")
     good = with_word_list(rows, "word_timing").drop("word_timing", "word_reason")
     root = good.select("parent_id", "audio_file_id", "segment_number", F.expr("case when words is not null then to_variant_object(named_struct('word_timing', words)) end").alias("root"))
-    levels = tuple(x for x in dewey.PAYLOAD_LEVELS if x.name in ("word", "phone"))
-    levels = (dewey.Level("word", "word_timing"), levels[1])
-    nodes = dewey.dewey_nodes(root, "root", levels)
-    return nodes.select("parent_id", "audio_file_id", "segment_number", "path", F.expr("concat(array(0, 0), label)").alias("place"), "value")
+    nodes = dewey.dewey_nodes(root, "root", (dewey.Level("word", "word_timing"), dewey.PAYLOAD_LEVELS[-1]))
+    return nodes.withColumn("place", F.expr("concat(array(0, 0), label)"))
 
 
 def _payload_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = dewey.payload_nodes(table(spark, sf, "result_payloads"))
-    number = F.coalesce(F.expr("try_variant_get(n_segment, '$.segment_number', 'bigint')"), F.lit(-1))
+    nodes = dewey.payload_nodes(table(spark, sf, "result_payloads")).withColumn("audio_file_id", F.coalesce(clean_key("audio_file_id"), F.lit(""))).withColumn("segment_number", F.coalesce("segment_number", F.lit(-1).cast("bigint")))
     # the segment's ordinal is left out of the place: channel, alternative, word, phone
-    return nodes.select("parent_id", F.coalesce(clean_key("audio_file_id"), F.lit("")).alias("audio_file_id"), number.cast("bigint").alias("segment_number"), "path", F.expr("case when size(label) > 1 then concat(slice(label, 1, 1), slice(label, 3, 9)) else label end").alias("place"), "value", "label")
+    return nodes.withColumn("place", F.expr("case when size(label) > 1 then concat(slice(label, 1, 1), slice(label, 3, 9)) else label end"))
+
+
+def _both(spark: SparkSession, sf: str, cases) -> DataFrame:
+    named = lambda nodes, name: cases(nodes.withColumn("table_name", F.lit(name)))
+    return named(_recognition_nodes(spark, sf), "recognition_results").unionByName(named(_payload_nodes(spark, sf), "result_payloads"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    def cases(nodes: DataFrame, name: str) -> DataFrame:
-        at = lambda i: F.coalesce(F.try_element_at("place", F.lit(i)), F.lit(-1)).cast("bigint")
-        return nodes.where("path in ('word', 'phone')").select(
-            F.lit(name).alias("table_name"), "parent_id", "audio_file_id", at(1).alias("channel_no"), "segment_number", at(2).alias("alt_no"), at(3).alias("word_no"), at(4).alias("phone_no")
-        )
+    at = lambda i: F.coalesce(F.try_element_at("place", F.lit(i)), F.lit(-1)).cast("bigint")
+    return _both(spark, sf, lambda nodes: nodes.where("path in ('word', 'phone')").select("table_name", "parent_id", "audio_file_id", at(1).alias("channel_no"), "segment_number", at(2).alias("alt_no"), at(3).alias("word_no"), at(4).alias("phone_no")))
 
-    return cases(_recognition_nodes(spark, sf), "recognition_results").unionByName(cases(_payload_nodes(spark, sf), "result_payloads"))
 
+#: The members of each flat table and their kinds.
+MEMBERS = {
+    "segment": {"offset": "bigint", "duration": "bigint"},
+    "alternative": {"text": "string", "confidence": "double"},
+    "word": {"Word": "string", "Offset": "bigint", "Duration": "bigint"},
+    "phone": {"Ph": "string", "Offset": "bigint", "Duration": "bigint"},
+}
 
-def p3_alternatives(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat table of alternatives, each with its label and its parent's."""
-    nodes = dewey.payload_nodes(table(spark, sf, "result_payloads")).where("path = 'alternative'")
+
+def _flat(nodes: DataFrame, path: str) -> DataFrame:
+    """The flat table of a schema path: keys, the node's label and its parent's, and the node's own members."""
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
-    return nodes.withColumn("up", dewey.parent_label()).select(
-        "parent_id", text("label").alias("label"), text("up").alias("parent_label"), F.expr("try_variant_get(value, '$.text', 'string')").alias("text"), F.expr("try_variant_get(value, '$.confidence', 'double')").alias("confidence")
-    )
+    values = [F.expr(f"try_variant_get(value, '$.{m}', '{kind}')").alias(m.lower()) for m, kind in MEMBERS[path].items()]
+    return nodes.where(F.col("path") == path).withColumn("_up", dewey.parent_label()).select("table_name", "parent_id", "audio_file_id", "segment_number", text("label").alias("label"), text("_up").alias("parent_label"), *values)
+
+
+def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of both tables; a row of recognition_results is one, and its own record."""
+    rows = table(spark, sf, "recognition_results").select(F.lit("recognition_results").alias("table_name"), F.col("result_id").alias("parent_id"), F.coalesce(clean_key("audio_file_id"), F.lit("")).alias("audio_file_id"), F.coalesce("segment_number", F.lit(-1)).cast("bigint").alias("segment_number"), F.lit("").alias("label"), F.lit(None).cast("string").alias("parent_label"), "offset", "duration")
+    return rows.unionByName(_flat(_payload_nodes(spark, sf).withColumn("table_name", F.lit("result_payloads")), "segment"))
+
+
+def p3_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Alternatives; only payloads have some."""
+    return _flat(_payload_nodes(spark, sf).withColumn("table_name", F.lit("result_payloads")), "alternative")
+
+
+def p3_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _both(spark, sf, lambda nodes: _flat(nodes, "word"))
+
+
+def p3_phones(spark: SparkSession, sf: str) -> DataFrame:
+    return _both(spark, sf, lambda nodes: _flat(nodes, "phone"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,11 +134,13 @@ def p5_keys(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_keys(*_orphans(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_alternatives, p4_found, p4_loaded, p4_loaded_words, p4_loaded_lines, p5_found, p5_report, p5_keys)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_zones, p2_found, p3_found, p3_segments, p3_alternatives, p3_words, p3_phones, p4_found, p4_loaded, p4_loaded_words, p4_loaded_lines, p5_found, p5_report, p5_keys)}
 
 def _sql() -> dict[str, str]:
     from vocalith.plans.moments_sql import p1_sql
+    from vocalith.plans.nested_sql import nested_sql
     from vocalith.plans.reference import SQL_JSON, sql_key
+    from vocalith.plans.rejects_sql import rejects_sql
 
     rows = f"""rows as (select result_id, {sql_key("audio_file_id")} as k, "offset" as off, duration, word_timing from recognition_results where {sql_key("audio_file_id")} is not null)"""
     spans = f"""iv as (select k, off as s, off + duration as e from rows where duration > 0 union all select k, w.o, w.o + w.d from (select k, unnest(list_transform(j, lambda r: {{'o': cast(r->>'$.Offset' as bigint), 'd': cast(r->>'$.Duration' as bigint)}})) as w from {SQL_JSON.format(rows="rows")}) where w.d > 0)"""
@@ -127,6 +153,8 @@ def _sql() -> dict[str, str]:
     return {
         "p1_found": p1_sql(),
         "p2_found": p2,
+        **nested_sql(sql_key, SQL_JSON, MEMBERS),
+        **rejects_sql(),
         "p5_found": f"{p5} select * from orph",
         "p5_report": f"{p5} select table_name, period_month, reason, count(*) as n_rows from orph group by all",
         "p5_keys": f"with child as (select * from ({child}) where k is not null) select table_name, k as key, count(*) as n_rows from child where k not in (select k from (select {sql_key('call_id')} as k from metadata) where k is not null) group by all",
