@@ -71,3 +71,42 @@ def test_sink_per_id(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "id string, f double").select("f", "id")
     path = sinks.write_features(df, str(tmp_path), "pos", "parquet", per_id=True)
     assert path.endswith("pos_features") and spark.read.parquet(path).where("id = 'b'").first().f is None
+
+
+def test_commands_by_level(spark, tmp_path):
+    """Alignments, confidence lines and transcripts at levels; call activity; dictionaries and stop words from files."""
+    for c in ("c1", "c2"):
+        (tmp_path / "k" / c).mkdir(parents=True)
+        (tmp_path / "k" / c / "conf_sym.txt").write_text(f"a_b_100_300 1 2 3 w 0.{c[1]}\na_b_300_400 1 2 3 w 0.9\n")
+        (tmp_path / "k" / c / "word_phone_ali_timing.txt").write_text('"a_b_0_350\n0 4 p q sil\n4 6 p q hi\n6 10 p q\n10 12 p q [noise]\n12 14 p q\n"a_b_400_500\n0 4 p q yes\n')
+        (tmp_path / "h" / c).mkdir(parents=True)
+        (tmp_path / "h" / c / "one.txt").write_text("a_b_5_6 you know this\na_b_0_4 hello there\n")
+        (tmp_path / "h" / c / "two.txt").write_text("a_b_0_4 hullo\n")
+    (tmp_path / "m.csv").write_text("subject_id,call_id,week,date,time\ns1,c1,1,2021-02-03,10:00\ns1,c2,1,2021-02-04,09:00\ns1,c2,1,2021-02-04,09:00\n")
+    (tmp_path / "d.csv").write_text("call_id,duration\nc1,30\nc2,60\n")
+    (tmp_path / "x.dic").write_text("%\n1\tfunc\n%\nyou know\t1\n")
+    out, meta = str(tmp_path / "out"), str(tmp_path / "m.csv")
+    k, h = str(tmp_path / "k"), str(tmp_path / "h")
+    cli.main(["alignments", "-i", k, "-o", out, "-l", "week", "-m", meta, "-d", str(tmp_path / "d.csv")])
+    row = spark.read.parquet(f"{out}/word_phone_timing").first()
+    assert (row.subject_id, row.week, row.total_duration, row.word_count, row.segment_count) == ("s1", "1", 90.0, 4, 4)
+    cli.main(["lines", "-i", k, "-o", out, "-l", "subject", "-m", meta])
+    assert [round(r.conf_mean, 6) for r in spark.read.parquet(f"{out}/asr_confidence").collect()] == [0.525]
+    cli.main(["lines", "-i", k, "-o", out])
+    assert {r.call_id: round(r.conf_min, 6) for r in spark.read.parquet(f"{out}/asr_confidence").collect()} == {"C1": 0.1, "C2": 0.2}
+    cli.main(["transcripts", "-t", h, "-o", out, "-l", "day", "-m", meta, "-f", "verbosity"])
+    rows = spark.read.parquet(f"{out}/verbosity_features").collect()
+    assert {(r.subject_id, r.day): r.total_count for r in rows} == {("s1", "2021-02-03"): 3.0, ("s1", "2021-02-04"): 3.0}  # (5 + 1) / 2
+    cli.main(["transcripts", "-t", h, "-o", out, "-f", "liwc", "--dictionary", str(tmp_path / "x.dic")])
+    assert {r.call_id: r.func_liwc for r in spark.read.parquet(f"{out}/liwc_features").collect()} == {"C1": 0.1, "C2": 0.1}  # (1 / 5 + 0) / 2
+    for level in ("subject", "week"):
+        with pytest.raises(ValueError):
+            cli.main(["lines", "-i", k, "-o", out, "-l", level])
+
+
+def test_activity_command(spark, tmp_path):
+    df = spark.createDataFrame([("s_1_2021-02-03", *map(float, range(15)), 7.0)], ["id", *ft.CALL_ACTIVITY, "more"])
+    sinks.write_features(df, str(tmp_path), "timing")
+    cli.main(["activity", "-i", f"{tmp_path}/timing_features", "-o", str(tmp_path)])
+    row = spark.read.option("header", True).csv(f"{tmp_path}/day_all_call_act").first()
+    assert (row.subject_id, row.date, float(row.segment_count)) == ("s_1", "2021-02-03", 0.0) and "more" not in row.asDict()

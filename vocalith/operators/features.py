@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vocalith.functions import text as tx
 from vocalith.functions.literals import with_word_list
 from vocalith.functions.stats import describe5, ratio
+from vocalith.operators import segments as sg
 
 #: Window sizes of the moving type-token ratio.
 MATTR_WINDOWS = (10, 25, 50)
@@ -234,20 +235,40 @@ def alignment_measures(lines: DataFrame) -> DataFrame:
     """
     f = F.split("line", " ")
     rows = lines.select("id", "seg", "i", F.try_element_at(f, F.lit(1)).try_cast("bigint").alias("s"), F.try_element_at(f, F.lit(2)).try_cast("bigint").alias("e"), F.try_element_at(f, F.lit(5)).alias("w"), (F.size(f) == 5).alias("opens")).where("s is not null and e is not null")
-    sound = F.col("w").isin("sil", "[noise]", "[laughter]")
-    ends = rows.groupBy("id", "seg").agg(F.max_by("e", "i").alias("last"))
-    opened = rows.where("opens").withColumn("next", F.lead("s").over(Window.partitionBy("id", "seg").orderBy("i"))).join(ends, ["id", "seg"])
-    length = (F.coalesce("next", "last") - F.col("s")) * FRAME_MS
-    words = opened.where(~sound).select("id", "seg", F.lit("words").alias("kind"), length.alias("value"))
-    silences = opened.where("w = 'sil'").select("id", "seg", F.lit("silences").alias("kind"), ((F.col("e") - F.col("s")) * FRAME_MS).alias("value"))
-    phones = rows.where(~F.coalesce(F.col("opens") & sound, F.lit(False))).select("id", "seg", F.lit("phones").alias("kind"), ((F.col("e") - F.col("s")) * FRAME_MS).alias("value"))
-    n_words = words.groupBy("id", "seg").agg(F.count("*").alias("nw"))
-    n_phones = phones.groupBy("id", "seg").agg(F.count("*").alias("np"))
-    per = ends.join(n_words, ["id", "seg"]).join(n_phones, ["id", "seg"], "left").withColumn("sec", F.col("last") * FRAME_MS / 1000)
-    each = F.array(F.struct(F.lit("segments").alias("kind"), F.col("sec").alias("value")), F.struct(F.lit("wps").alias("kind"), ratio(F.col("nw"), F.col("sec")).alias("value")), F.struct(F.lit("pps").alias("kind"), ratio(F.coalesce("np", F.lit(0)), F.col("sec")).alias("value")))
-    rates = per.select("id", "seg", F.explode(each).alias("m")).select("id", "seg", "m.kind", "m.value")
-    out = words.unionByName(silences).unionByName(phones)
-    return out.withColumn("value", F.col("value").cast("double")).unionByName(rates)
+    sound = F.coalesce(F.col("opens") & F.col("w").isin("sil", "[noise]", "[laughter]"), F.lit(False))
+    # one shuffle: a segment's lines from the last to the first, each with what follows it, and the segment's totals
+    whole = Window.partitionBy("id", "seg")
+    back = whole.orderBy(F.desc("i"))
+    placed = rows.withColumn("sound", sound).withColumn("next", F.last(F.when(F.col("opens"), F.col("s")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))).withColumn("turn", F.row_number().over(back))
+    placed = placed.withColumn("last", F.first("e").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nw", F.sum((F.col("opens") & ~F.col("sound")).cast("int")).over(whole)).withColumn("np", F.sum((~F.col("sound")).cast("int")).over(whole))
+    sec = F.col("last") * FRAME_MS / 1000
+    measure = lambda kind, v, when: F.when(when, F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value")))
+    own = (F.col("e") - F.col("s")) * FRAME_MS
+    per_segment = (F.col("turn") == 1) & (F.col("nw") > 0)
+    each = F.array(
+        measure("words", (F.coalesce("next", "last") - F.col("s")) * FRAME_MS, F.col("opens") & ~F.col("sound")),
+        measure("silences", own, F.col("opens") & (F.col("w") == "sil")),
+        measure("phones", own, ~F.col("sound")),
+        measure("segments", sec, per_segment),
+        measure("wps", ratio(F.col("nw"), sec), per_segment),
+        measure("pps", ratio(F.col("np"), sec), per_segment),
+    )
+    return placed.select("id", "seg", F.explode(each).alias("m")).where("m is not null").select("id", "seg", "m.kind", "m.value")
+
+
+def alignment_timing(lines: DataFrame, meta: DataFrame | None, level: str, totals: DataFrame | None = None) -> DataFrame:
+    """Timing of word-phone alignments (call_id, seg, i, line) at a level of grouping: its keys, then the features; with ``totals`` (call_id, duration_s) also shares of the calls."""
+    measures = alignment_measures(lines.withColumnRenamed("call_id", "id")).withColumnsRenamed({"id": "call_id", "seg": "segment_id"})
+    # seconds are whole milliseconds, which add up exactly
+    whole = F.when(F.col("kind") == "segments", F.round(F.col("value") * 1000)).otherwise(F.col("value"))
+    placed = sg.at_level(measures, meta, level).withColumn("value", whole)
+    made = timing_features(
+        placed.select(F.struct(*sg.LEVEL_KEYS[level]).alias("id"), "kind", "value"),
+        None if totals is None else sg.level_totals(sg.at_level(lines.select("call_id", F.col("seg").alias("segment_id")).distinct(), meta, level), level, totals),
+        phones=True,
+        units={"segments": 1e-3},
+    )
+    return made.select("id.*", *(c for c in made.columns if c != "id"))
 
 
 def hypothesis_mean(features: DataFrame, names: list[str]) -> DataFrame:

@@ -76,6 +76,27 @@ def with_level(rows: DataFrame, meta: DataFrame, level: str, day: Column | None
     return rows.join(keyed, "call_id").withColumn("id", F.col("_id")).drop("_id")
 
 
+def at_level(rows: DataFrame, meta: DataFrame | None, level: str) -> DataFrame:
+    """Rows with call_id (and segment_id at level segment) and the keys of ``level`` (``LEVEL_KEYS``); where ``meta`` (call_id, subject_id, week, day) is given, calls without it are left out."""
+    if level not in LEVEL_KEYS:
+        raise ValueError(f"level must be one of {', '.join(LEVEL_KEYS)}")
+    if meta is None and level not in ("call", "segment"):
+        raise ValueError(f"level {level} needs metadata")
+    return rows if meta is None else rows.join(meta.select("call_id", *(c for c in ("subject_id", "week", "day", "time") if c in meta.columns and c not in rows.columns)), "call_id")
+
+
+def level_totals(rows: DataFrame, level: str, totals: DataFrame) -> DataFrame:
+    """(id, duration_s): the durations of the distinct calls of each group of ``rows`` (see ``at_level``), by ``totals`` (call_id, duration_s).
+
+    id is the struct of the level's keys. A segment's own duration is the span in its id, in seconds.
+    """
+    key = F.struct(*LEVEL_KEYS[level]).alias("id")
+    if level == "segment":
+        at = lambda i: F.try_element_at(F.split("segment_id", "_"), F.lit(i)).try_cast("bigint")
+        return rows.select("segment_id").distinct().select(key, ((at(-1) - at(-2)) * 1e-3).alias("duration_s"))
+    return rows.select("call_id", *LEVEL_KEYS[level]).distinct().join(totals, "call_id").groupBy(key).agg(F.sum("duration_s").alias("duration_s")) if level != "call" else totals.select(key, "duration_s")
+
+
 def durations(rows: DataFrame) -> DataFrame:
     """(call_id, duration_s): summed per call, from duration_ms where set, else duration (both ms)."""
     ms = F.coalesce(*[F.col(c) for c in ("duration_ms", "duration") if c in rows.columns])

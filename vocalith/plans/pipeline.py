@@ -63,9 +63,10 @@ REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
 DEFAULT = ("graph", "lexical_diversity", "liwc", "pos", "verbosity")
 
 
-def extract(segments: DataFrame, names: tuple[str, ...] = DEFAULT) -> dict[str, DataFrame]:
-    """Feature tables by name; an unknown name is an error when the plan is built."""
+def extract(segments: DataFrame, names: tuple[str, ...] = DEFAULT, dictionary=LEXICON, providers: Providers = Providers()) -> dict[str, DataFrame]:
+    """Feature tables by name; an unknown name is an error when the plan is built. ``dictionary`` has the categories, ``providers`` the language models."""
     unknown = [n for n in names if n not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown feature sets: {', '.join(unknown)}; there are {', '.join(REGISTRY)}")
-    return {n: REGISTRY[n](segments) for n in names}
+    settings = {"liwc": {"rows": dictionary}, "pos": {"providers": providers}, "graph": {"providers": providers}}
+    return {n: REGISTRY[n](segments, **settings.get(n, {})) for n in names}

@@ -8,12 +8,14 @@ from pyspark.sql import types as T
 
 from vocalith.functions import text as tx
 from vocalith.functions.keys import clean_key
+from vocalith.functions.literals import with_word_list
 from vocalith.functions.providers import CLOSED, ENDINGS, LEXICON, Providers
 from vocalith.functions.stats import describe5
 from vocalith.operators import features, graphs, topics
 from vocalith.operators import segments as sg
 from vocalith.plans import pipeline
 from vocalith.plans.moments_sql import days_cte
+from vocalith.plans.transcripts import transcript_features
 from vocalith.session import spread, table
 from vocalith.sources import files
 
@@ -143,17 +145,61 @@ def call_activity_split(spark, sf):
     return sg.split_day_id(features.call_activity(ms_timing_day(spark, sf)))
 
 
-_ALIGNMENT = [
-    ("c1", "s_c1_0_350", ["0 4 p q sil", "4 6 p q hi", "6 10 p q", "10 12 p q [noise]", "12 14 p q"]),
-    ("c1", "s_c1_400_900", ["0 3 p q one", "3 5 p q", "5 9 p q two", "9 20 p q sil"]),
-    ("c2", "s_c2_0_100", ["0 4 p q sil", "4 6 p q [laughter]"]),
-    ("c2", "s_c2_200_500", ["0 6 a b yes", "6 9 a b", "9 9 a b no", "9 12 a b"]),
-]
+#: Ticks of 100 ns in a frame of an alignment.
+_FRAME = 250_000
+
+
+def _alignments(spark, sf):
+    """Word timings of all segments as lines of alignments: a line a word, a line of silence before each that doesn't follow at once, and a second phone in words longer than half a second."""
+    rows = spread(_results(spark, sf)).select(clean_key("audio_file_id").alias("call_id"), "result_id", F.coalesce("offset", F.lit(0)).alias("o"), F.coalesce("duration", F.lit(0)).alias("d"), "word_timing").where("call_id is not null")
+    read = with_word_list(rows, "word_timing").where("size(words) > 0")
+    seg = F.concat_ws("_", F.lit("s"), "call_id", (F.col("result_id") * 1000).cast("string"), (F.col("result_id") * 1000 + F.expr("d div 10000")).cast("string"))
+    spans = F.expr(f"transform(words, w -> named_struct('s', (try_variant_get(w, '$.Offset', 'bigint') - o) div {_FRAME}, 'e', (try_variant_get(w, '$.Offset', 'bigint') + try_variant_get(w, '$.Duration', 'bigint') - o) div {_FRAME}, 'w', replace(try_variant_get(w, '$.Word', 'string'), ' ', '')))")
+    lines = F.expr(
+        """flatten(transform(spans, (x, i) -> concat(
+             case when x.s > case when i = 0 then 0 else spans[i - 1].e end then array(concat_ws(' ', case when i = 0 then 0 else spans[i - 1].e end, x.s, 'p', 'q', 'sil')) else cast(array() as array<string>) end,
+             case when x.e - x.s > 20 then array(concat_ws(' ', x.s, x.s + 20, 'p', 'q', x.w), concat_ws(' ', x.s + 20, x.e, 'p', 'q')) else array(concat_ws(' ', x.s, x.e, 'p', 'q', x.w)) end)))"""
+    )
+    return read.select("call_id", seg.alias("seg"), spans.alias("spans")).select("call_id", "seg", F.posexplode(lines).alias("i", "line"))
+
+
+def _kaldi_timing(spark, sf, level: str):
+    day = F.col("day").cast("date")
+    meta = None if level in ("call", "segment") else _metadata(spark, sf).select("call_id", "subject_id", "day", F.date_format(F.date_trunc("week", day), "yyyy-MM-dd").alias("week"))
+    return r6(features.alignment_timing(_alignments(spark, sf), meta, level, sg.durations(table(spark, sf, "call_durations"))))
 
 
 def kaldi_timing(spark, sf):
-    lines = spark.createDataFrame([(c, s, i, x) for c, s, ls in _ALIGNMENT for i, x in enumerate(ls)], "id string, seg string, i int, line string")
-    return r6(features.timing_features(features.alignment_measures(lines), phones=True, units={}))
+    """Timing of alignments at level call, against the calls' durations."""
+    return _kaldi_timing(spark, sf, "call")
+
+
+def kaldi_timing_segment(spark, sf):
+    return _kaldi_timing(spark, sf, "segment")
+
+
+def kaldi_timing_day(spark, sf):
+    return _kaldi_timing(spark, sf, "day")
+
+
+def kaldi_timing_week(spark, sf):
+    return _kaldi_timing(spark, sf, "week")
+
+
+def kaldi_timing_subject(spark, sf):
+    return _kaldi_timing(spark, sf, "subject")
+
+
+def _as_hypotheses(spark, sf):
+    """The cased and the plain transcript as two hypotheses, in the form of transcript files."""
+    h = _hypotheses(spark, sf)
+    return h.select(F.col("id").alias("call_id"), "hyp_no", F.concat_ws("_", F.lit("s"), "id", F.col("tie").cast("string"), (F.col("tie") + 1).cast("string")).alias("segment_id"), F.col("t").alias("text"))
+
+
+def transcript_diversity_subject(spark, sf):
+    """Lexical diversity of each subject's hypotheses, calls in order of day, mean over hypotheses."""
+    meta = _metadata(spark, sf).select("call_id", "subject_id", "day")
+    return r6(transcript_features(_as_hypotheses(spark, sf), meta, "subject", "lexical_diversity"))
 
 
 def _word_scores(spark, sf):
@@ -301,7 +347,7 @@ QUERIES = {
     for f in (
         verbosity_word_stats, verbosity_syllables, mattr, honore, honore_by_feature, clean_text, sentence_split, liwc_fractions, pos_from_tags, pos_by_call,
         graph_counts, graph_loops, graph_connectivity, graph_features, non_verbal_ratios,
-        ms_timing, ms_timing_day, call_activity, call_activity_split, kaldi_timing, kaldi_confidence, kaldi_confidence_day, kaldi_confidence_week, kaldi_confidence_subject, kaldi_confidence_segment, confidence_stats, confidence_by_feature, describe5_lineitem,
+        ms_timing, ms_timing_day, call_activity, call_activity_split, kaldi_timing, kaldi_timing_segment, kaldi_timing_day, kaldi_timing_week, kaldi_timing_subject, transcript_diversity_subject, kaldi_confidence, kaldi_confidence_day, kaldi_confidence_week, kaldi_confidence_subject, kaldi_confidence_segment, confidence_stats, confidence_by_feature, describe5_lineitem,
         level_call, level_day, call_type_filter, call_durations,
         hypothesis_mean, stopword_filter, sound_filter, min_words_filter, bag_of_words, vocab_trim, phrase_scores, phrase_apply, phrase_triples, topics_lda, topic_coherence, topic_sweep,
     )
@@ -480,22 +526,42 @@ SQL["ms_timing_day"] = f"with {_SEG_DAY}, {_DUR}, {_MEASURES}, {_timing_sql(_DAY
 SQL["call_activity_split"] = f"with {_SEG_DAY}, {_DUR}, {_MEASURES}, {_timing_sql(_DAY_TOTAL)} select id, {_ACTIVITY}, regexp_replace(id, '_[^_]*$', '') as subject_id, regexp_extract(id, '([^_]*)$', 1) as date from timing"
 
 
-def _kaldi_sql() -> str:
-    rows = ", ".join("('{}', '{}', {}, '{}')".format(c, s, i, x) for c, s, ls in _ALIGNMENT for i, x in enumerate(ls))
-    d5 = ", ".join(_d5(f"case when kind = '{k}' then value end", k) for k in ("segments", "silences", "words", "wps", "phones", "pps"))
+def _kaldi_sql(level: str) -> str:
+    keys = ", ".join(sg.LEVEL_KEYS[level])
+    d5 = ", ".join(_d5(f"case when kind = '{k}' then value end", k, unit=1e-3 if k == "segments" else None) for k in ("segments", "silences", "words", "wps", "phones", "pps"))
     n = lambda k: f"count(case when kind = '{k}' then 1 end)"
     s = lambda k: f"coalesce(sum(case when kind = '{k}' then value end), 0)"
-    return f"""with raw(id, seg, i, line) as (values {rows}), r as (select id, seg, i, cast(f[1] as bigint) as s, cast(f[2] as bigint) as e, f[5] as w, len(f) = 5 as opens from (select *, string_split(line, ' ') as f from raw)),
- l as (select id, seg, arg_max(e, i) as last from r group by id, seg), o as (select r.*, last, lead(s) over (partition by r.id, r.seg order by i) as nxt from r join l on r.id = l.id and r.seg = l.seg where opens),
- words as (select id, seg, (coalesce(nxt, last) - s) * 25 as v from o where w not in ('sil', '[noise]', '[laughter]')), phones as (select id, seg, (e - s) * 25 as v from r where not (opens and coalesce(w, '') in ('sil', '[noise]', '[laughter]'))),
- rates as (select l.id, l.seg, last * 0.025 as sec, (select count(*) from words where words.seg = l.seg) as nw, (select count(*) from phones where phones.seg = l.seg) as np from l),
- m(id, kind, value) as (select id, 'words', cast(v as double) from words union all select id, 'phones', v from phones union all select id, 'silences', (e - s) * 25 from o where w = 'sil'
- union all select id, 'segments', sec from rates where nw > 0 union all select id, 'wps', nw / nullif(sec, 0) from rates where nw > 0 union all select id, 'pps', np / nullif(sec, 0) from rates where nw > 0)
- select id, {d5}, round({s("silences")} * 1e-3, 6) as sil_duration, round({s("segments")}, 6) as spk_duration, {_ratio(s("segments"), f"({s('silences')} * 1e-3)")} as spk_sil_ratio, {_ratio(n("silences"), s("segments"))} as sps, {_ratio(n("words"), s("segments"))} as wps,
- {n("silences")} as sil_count, {n("segments")} as segment_count, {n("words")} as word_count, count(case when kind = 'segments' and value <= 1 then 1 end) as short_utt_count, {_ratio(n("phones"), s("segments"))} as pps, {n("phones")} as phone_count from m group by id"""
-
-
-SQL["kaldi_timing"] = _kaldi_sql()
+    meta = "" if level in ("call", "segment") else f"{_META}, wk as (select call_id, subject_id, day, strftime(date_trunc('week', cast(day as date)), '%Y-%m-%d') as week from meta),"
+    joined = "" if level in ("call", "segment") else "join wk using (call_id)"
+    total = {
+        "segment": "select distinct segment_id, sd * 0.001 as t from r",
+        "call": "select call_id, duration_s as t from dur",
+    }.get(level, f"select {keys}, sum(duration_s) as t from (select distinct call_id, {keys} from r join wk using (call_id)) join dur using (call_id) group by {keys}")
+    same = " and ".join(f"f.{k} is not distinct from t.{k}" for k in sg.LEVEL_KEYS[level])
+    spk, sil, dur = "spk", "sil", "coalesce(t.t, 0)"
+    return f"""with {meta} {_DUR}, kr as (select {sql_key("audio_file_id")} as k, result_id, coalesce("offset", 0) as o, coalesce(duration, 0) as d, word_timing from recognition_results),
+ sp as (select k as call_id, concat_ws('_', 's', k, result_id * 1000, result_id * 1000 + d // 10000) as segment_id, d // 10000 as sd, list_transform(j, lambda x: {{'s': trunc((cast(x->>'$.Offset' as bigint) - o) / {_FRAME}), 'e': trunc((cast(x->>'$.Offset' as bigint) + cast(x->>'$.Duration' as bigint) - o) / {_FRAME})}}) as w
+  from {SQL_JSON.format(rows="kr")} where k is not null and len(j) > 0),
+ wd as (select call_id, segment_id, sd, i, w[i].s as s, w[i].e as e, case when i = 1 then 0 else w[i - 1].e end as pe, len(w) as nw, w from (select *, unnest(range(1, len(w) + 1)) as i from sp)),
+ r as (select *, case when s > pe then s - pe end as sil, case when i = nw then case when e - s > 20 then e else e end else case when w[i + 1].s > e then e else w[i + 1].s end end as upto from wd),
+ seg as (select call_id, segment_id, cast(arg_max(e, i) as double) * 25 / 1000 as sec, count(*) as nw, sum(case when e - s > 20 then 2 else 1 end) as np from r group by call_id, segment_id),
+ m as (select call_id, segment_id, 'words' as kind, cast((upto - s) * 25 as double) as value from r union all select call_id, segment_id, 'silences', cast(sil * 25 as double) from r where sil is not null
+ union all select call_id, segment_id, 'phones', cast((e - s) * 25 as double) from r where e - s <= 20 union all select call_id, segment_id, 'phones', 500.0 from r where e - s > 20 union all select call_id, segment_id, 'phones', cast((e - s - 20) * 25 as double) from r where e - s > 20
+ union all select call_id, segment_id, 'segments', sec * 1000 from seg union all select call_id, segment_id, 'wps', nw / nullif(sec, 0) from seg union all select call_id, segment_id, 'pps', np / nullif(sec, 0) from seg),
+ f as (select {keys}, {d5}, {s("silences")} * 1e-3 as sil, {s("segments")} * cast(1e-3 as double) as spk, {n("silences")} as sil_count, {n("segments")} as segment_count, {n("words")} as word_count, count(case when kind = 'segments' and value <= 1000 then 1 end) as short_utt_count, {n("phones")} as phone_count from m {joined} group by {keys}),
+ t as ({total})
+ select f.* exclude (sil, spk), round({sil}, 6) as sil_duration, round({spk}, 6) as spk_duration, {_ratio(spk, sil)} as spk_sil_ratio, {_ratio("sil_count", spk)} as sps, {_ratio("word_count", spk)} as wps, {_ratio("phone_count", spk)} as pps, round({dur}, 6) as total_duration,
+ {_ratio(spk, dur)} as spk_ratio, {_ratio(sil, dur)} as sil_ratio, {_ratio("segment_count", dur + " / 60")} as segs_per_min, {_ratio("short_utt_count", dur + " / 60")} as short_utts_per_min from f left join t on {same}"""
+
+
+for _level in sg.LEVEL_KEYS:
+    SQL["kaldi_timing" if _level == "call" else f"kaldi_timing_{_level}"] = _kaldi_sql(_level)
+
+SQL["transcript_diversity_subject"] = f"""with {_SEG}, {_META}, h as (select id, tie, 0 as hyp, text as t from seg where text is not null union all select id, tie, 1, text_basic from seg where text_basic is not null),
+ words as (select subject_id as sub, hyp, string_split(string_agg(t, ' ' order by day nulls first, id, tie), ' ') as ws from h join meta on h.id = meta.call_id group by all),
+ mt as (select sub, hyp, {", ".join(f"list_avg(list_transform(range(1, len(ws) - least({k}, len(ws)) + 2), lambda i: len(list_distinct(ws[i:i + least({k}, len(ws)) - 1])))) / least({k}, len(ws)) as m{k}" for k in features.MATTR_WINDOWS)} from words),
+ hs as (select sub, hyp, 100 * ln(n / (1 - v1 / (v + 1e-5))) as hs from (select sub, hyp, cast(sum(c) as double) as n, cast(count(*) as double) as v, cast(sum(case when c = 1 then 1 else 0 end) as double) as v1 from (select sub, hyp, w, count(*) as c from (select sub, hyp, unnest(ws) as w from words) group by all) group by all))
+ select sub as subject_id, {", ".join(f"round(avg(m{k}), 6) as MATTR_{k}" for k in features.MATTR_WINDOWS)}, round(avg(hs), 6) as HS from mt join hs using (sub, hyp) group by sub"""
 
 
 def _liwc_sql() -> str:

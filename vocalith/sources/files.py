@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalith.functions.keys import clean_key
+
 #: The columns of recognizer results; the optional ones may be missing from a file.
 RESULTS = T.StructType(
     [
@@ -61,6 +65,14 @@ def call_durations(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("duration_sec", ms.try_cast("double") * 1e-3)
 
 
+def calls_by_week(spark: SparkSession, path: str) -> DataFrame:
+    """(call_id, subject_id, week, day, time): one row a call of metadata that has a row a segment; of several the last by date and time."""
+    rows = _dimension(spark, path)
+    text = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in rows.columns), F.lit(None).cast("string"))
+    one = rows.select(clean_key("call_id").alias("call_id"), F.struct("subject_id", text("week").alias("week"), text("day", "date").alias("day"), text("time").alias("time")).alias("m")).where("call_id is not null")
+    return one.groupBy("call_id").agg(F.max_by("m", F.struct("m.day", "m.time", "m.week", "m.subject_id")).alias("m")).select("call_id", "m.*")
+
+
 def confidence_lines(spark: SparkSession, root: str) -> DataFrame:
     """(call_id, segment_id, start_ms, end_ms, conf) of <root>/<call_id>/conf_sym.txt; calls without the file have no rows."""
     lines = spark.read.text(f"{root}/*/conf_sym.txt").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("call_id"), F.split("value", " ").alias("f"))
@@ -103,18 +115,28 @@ def stop_words(spark: SparkSession, path: str) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").collect()]  # a word list
 
 
+def load_dictionary(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """``dictionary`` of a file that Spark can read, wherever it is."""
+    return parse_dictionary(spark.read.text(path, wholetext=True).first().value.splitlines())  # one dictionary
+
+
 def dictionary(path: str) -> list[tuple[str, str]]:
+    """``dictionary`` of a file on this machine."""
+    with open(path, encoding="utf-8") as f:
+        return parse_dictionary(f)
+
+
+def parse_dictionary(lines: Iterable[str]) -> list[tuple[str, str]]:
     """(pattern, category) of a .dic file: between two lines of % are numbered categories, after them patterns with their numbers."""
     names: dict[str, str] = {}
     out: list[tuple[str, str]] = []
     inside = 0
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            fields = line.strip().split("\t") if "\t" in line else line.split()
-            if fields[:1] == ["%"]:
-                inside += 1
-            elif inside == 1 and len(fields) >= 2:
-                names[fields[0].strip()] = fields[1].strip()
-            elif inside >= 2 and fields and fields[0]:
-                out += [(fields[0].strip().lower(), names[n.strip()]) for n in fields[1:] if n.strip() in names]
+    for line in lines:
+        fields = line.strip().split("\t") if "\t" in line else line.split()
+        if fields[:1] == ["%"]:
+            inside += 1
+        elif inside == 1 and len(fields) >= 2:
+            names[fields[0].strip()] = fields[1].strip()
+        elif inside >= 2 and fields and fields[0]:
+            out += [(fields[0].strip().lower(), names[n.strip()]) for n in fields[1:] if n.strip() in names]
     return out
