@@ -245,3 +245,68 @@ def test_means_of_scores_are_exact(spark):
     mean = float(sum(map(Fraction, map(str, scores))) / len(scores))
     for n in (1, 3, 8):
         assert ft.confidence(rows.repartition(n), ["id"]).first().conf_mean == mean
+
+
+def test_paths_in_batches_and_parts(spark, monkeypatch):
+    """Walks in many small batches, and an id that is split over tasks, give what plain breadth-first search gives."""
+    from collections import deque
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    edge_list = [(rng.choice(words), rng.choice(words)) for _ in range(70)] + [("alone", None)]
+    near = {}
+    for a, b in edge_list:
+        near.setdefault(a, set())
+        if b is not None:
+            near.setdefault(b, set())
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+    total = reached = diameter = lcc = 0
+    for s in near:
+        far, queue = {s: 0}, deque([s])
+        while queue:
+            v = queue.popleft()
+            for w in near[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    queue.append(w)
+        total, reached, diameter, lcc = total + sum(far.values()), reached + len(far) - 1, max(diameter, *far.values()), max(lcc, len(far))
+    monkeypatch.setattr(gr, "SOURCES", 7)
+    found = gr.connectivity(edge_list)
+    assert (found[0], found[2]) == (lcc, diameter) and found[3] == pytest.approx(total / reached)
+    e = spark.createDataFrame([("x", a, b) for a, b in edge_list] + [("y", "p", "q")], "id string, src string, dst string")
+    for split in (5, 1000):
+        rows = {r.id: tuple(r)[1:] for r in gr.graph_connectivity(e, "", split).collect()}
+        assert rows["x"] == pytest.approx(found) and rows["y"] == (2, 1, 1, 1.0)
+
+
+def test_running_sum_over_shards(spark, monkeypatch):
+    """Distinct, repeated, null and structured orders; buckets and shards of a few rows."""
+    monkeypatch.setattr(tx, "TIE_BUCKET", 3)
+    monkeypatch.setattr(tx, "ORDER_SHARD", 4)
+    rng = random.Random(3)
+    rows = [(k, rng.choice((None, *range(-3, 40))), t, rng.randrange(5)) for k in ("a", None, "b") for t in range(60)]
+    want, acc = {}, Counter()
+    for k, o, t, v in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        want[k, t] = acc[k]
+        acc[k] += v
+    df = spark.createDataFrame(rows, "k string, ord bigint, tie bigint, v int")
+    flat = {(r.k, r.tie): r.s for r in tx.running_sum(df, ["k"], "v", "s").collect()}
+    assert {x: v for x, v in flat.items() if x[0] is not None} == {x: v for x, v in want.items() if x[0] is not None}
+    inside = df.withColumn("ord", F.struct((F.col("ord") % 5).alias("day"), "ord")).where("k is not null")
+    acc, want = Counter(), {}
+    for k, o, t, v in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[1] is not None, math.fmod(r[1] or 0, 5), r[1] or 0, r[2])):
+        want[k, t] = acc[k]
+        acc[k] += v
+    assert {(r.k, r.tie): r.s for r in tx.running_sum(inside, ["k"], "v", "s").collect()} == want
+
+
+def test_mattr_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(ft, "POSITIONS", 64)
+    rng = random.Random(9)
+    ws = [rng.choice("abcdefgh") for _ in range(300)]
+    positions = spark.createDataFrame([("x", j, w) for j, w in enumerate(ws)], "id string, j bigint, w string")
+    row = ft.mattr(positions).first()
+    for n in ft.MATTR_WINDOWS:
+        assert row[f"MATTR_{n}"] == pytest.approx(statistics.mean(len(set(ws[i : i + n])) / n for i in range(len(ws) - n + 1)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What stays when punctuation goes: letters, digits, underscore, apostrophe and white space.
 _PUNCTUATION = r"(?U)[^\p{L}\p{N}_'\s\x1c-\x1f]+"
@@ -53,22 +54,32 @@ def text_or_nan(c: str, null_text: str = "nan") -> Column:
 
 #: Ties of one bucket of a running sum: rows of one order value are summed in buckets of so many tie numbers.
 TIE_BUCKET = 65_536
+#: Orders of one shard of a running sum.
+ORDER_SHARD = 4096
 
 
 def running_sum(df: DataFrame, keys: list[str], value: str, out: str, last: str | None = None) -> DataFrame:
     """Adds the sum of ``value`` over the rows of a key before this one, in order of ord, tie and ``last``.
 
-    A key may hold most of the rows, so there are two levels: rows are summed in buckets of (ord, tie), each bucket sums
-    its own rows, and the sums of a key's earlier buckets, one row a bucket, are added.
+    A key may hold most of the rows, so there are three levels: rows are summed in buckets of (ord, tie), buckets in shards
+    of neighbouring orders; each bucket sums its own rows, and the sums of the shard's earlier buckets and of the key's
+    earlier shards are added.
     """
     bucketed = df.withColumn("_bucket", F.floor(F.col("tie") / F.lit(TIE_BUCKET)))
     at = [*keys, "ord", "_bucket"]
-    totals = bucketed.groupBy(*at).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("ord", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*at, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    kind = df.schema["ord"].dataType
+    shard = F.floor(F.col("ord") / ORDER_SHARD) if isinstance(kind, T.NumericType) else F.col(f"ord.{kind.names[0]}") if isinstance(kind, T.StructType) else F.col("ord")
+    totals = bucketed.groupBy(*at).agg(F.sum(value).alias("_sum")).withColumn("_shard", shard)
+    earlier = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shards = totals.groupBy(*keys, "_shard").agg(F.sum("_sum").alias("_sum"))
+    first = shards.select(*keys, F.col("_shard").alias("_of"), F.coalesce(F.sum("_sum").over(earlier(keys, "_shard")), F.lit(0)).alias("_first"))
+    inner = totals.withColumn("_inner", F.coalesce(F.sum("_sum").over(earlier([*keys, "_shard"], "ord", "_bucket")), F.lit(0))).withColumn("_of", F.col("_shard"))
+    same = [inner[k].eqNullSafe(first[k]) for k in (*keys, "_of")]
+    starts = inner.join(first, same).select(*(inner[c].alias(f"_at_{c}") for c in at), (F.col("_first") + F.col("_inner")).alias("_start"))
     within = Window.partitionBy(*at).orderBy("tie", *([last] if last else [])).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return local.join(starts, at).withColumn(out, F.col("_start") + F.col("_local")).drop("_bucket", "_local", "_start")
+    placed = local.join(starts, [local[c].eqNullSafe(starts[f"_at_{c}"]) for c in at])
+    return placed.withColumn(out, F.col("_start") + F.col("_local")).drop("_bucket", "_local", "_start", *(f"_at_{c}" for c in at))
 
 
 def joined_sentences(segments: DataFrame, text: str = "text", null_text: str = "nan") -> DataFrame:

@@ -12,6 +12,8 @@ from vocalith.operators import segments as sg
 
 #: Window sizes of the moving type-token ratio.
 MATTR_WINDOWS = (10, 25, 50)
+#: Words of one shard of a text's positions.
+POSITIONS = 65_536
 #: Words of at least so many characters are long.
 LONG_WORD = 7
 #: Tokens of sounds that are no words, and the feature each counts for.
@@ -61,7 +63,11 @@ def mattr(positions: DataFrame, windows: tuple[int, ...] = MATTR_WINDOWS) -> Dat
     after p and reach j, and those can be counted.
     """
     sized = positions.join(positions.groupBy("id").agg(F.count("*").alias("n")), "id")
-    last = sized.withColumn("p", F.lag("j").over(Window.partitionBy("id", "w").orderBy("j")))
+    # only an occurrence within the largest window matters: positions are cut into shards that hold so many words before them, too
+    back, shard = max(windows), F.floor(F.col("j") / POSITIONS)
+    cut = F.when(F.pmod("j", F.lit(POSITIONS)) >= POSITIONS - back, F.array(shard, shard + 1)).otherwise(F.array(shard))
+    sharded = sized.select("id", "j", "w", "n", F.explode(cut).alias("shard"))
+    last = sharded.withColumn("p", F.lag("j").over(Window.partitionBy("id", "w", "shard").orderBy("j"))).where(F.floor(F.col("j") / POSITIONS) == F.col("shard"))
 
     def share(size: int) -> Column:
         w = F.least(F.lit(size), F.col("n"))
@@ -90,25 +96,30 @@ def liwc(sentences: DataFrame, lexicon: DataFrame, categories: list[str]) -> Dat
     """Share of words in each category of a dictionary (pattern, is_prefix, category): hits of words, pairs and triples of a sentence over words.
 
     A prefix pattern wins at its shortest over all others; exact patterns count else. A token counts once a category. The
-    lexicon is one dictionary, bounded by its file, and broadcast.
+    lexicon is one dictionary, bounded by its file.
     """
     # split once: inside a lambda an expression is evaluated per element
     sentences = sentences.select("id", tx.words("text").alias("ws"))
     tokens = F.col("ws")
-    grams = F.concat(tokens, tx.ngrams(tokens, 2), tx.ngrams(tokens, 3))
-    # equal tokens of an id are one row after the map-side half; the row without token counts the words
-    counted = F.concat(F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"))), F.array(F.struct(F.lit(None).cast("string").alias("g"), F.size(tokens).alias("c"))))
-    used = sentences.select("id", F.explode(counted).alias("x")).groupBy("id", F.col("x.g").alias("g")).agg(F.sum("x.c").alias("c"))
-    lex = F.broadcast(lexicon.select("is_prefix", "pattern", "category").distinct())
-    longest = lexicon.where("is_prefix").agg(F.coalesce(F.max(F.length("pattern")), F.lit(1))).first()[0]
+    known = [r.pattern for r in lexicon.select("pattern").distinct().collect()]  # one dictionary
+    # only tokens that begin as some pattern does are sent anywhere
+    single, double = sorted({p[:1] for p in known if len(p) < 2}), sorted({p[:2] for p in known if len(p) >= 2})
+    begins = lambda g: F.substring(g, 1, 2).isin(*double) | F.substring(g, 1, 1).isin(*single) if "" not in single else F.lit(True)
+    grams = F.filter(F.concat(tokens, tx.ngrams(tokens, 2), tx.ngrams(tokens, 3)), begins)
+    # equal tokens of an id are one row after the map-side half
+    used = sentences.select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    # each different token is held against the dictionary once, whichever ids have it
+    lex = lexicon.select("is_prefix", "pattern", "category").distinct()
+    longest = max((len(p) for p in known), default=1)
     upto = F.greatest(F.least(F.length("g"), F.lit(longest)), F.lit(1))
     whole = F.array(F.struct(F.lit(False).alias("is_prefix"), F.col("g").alias("pattern")))
     starts = F.transform(F.sequence(F.lit(1), upto), lambda i: F.struct(F.lit(True).alias("is_prefix"), F.substring(F.col("g"), F.lit(1), i).alias("pattern")))
-    tried = used.select("id", "g", "c", F.explode(F.when(F.col("g").isNull(), whole).otherwise(F.concat(whole, starts))).alias("p")).select("id", "g", "c", "p.*")
-    hits = tried.join(lex, ["is_prefix", "pattern"], "left").where("category is not null or g is null").withColumn("len", F.when(F.col("is_prefix"), F.length("pattern")))
-    kept = hits.withColumn("best", F.min("len").over(Window.partitionBy("id", "g"))).where("best is null or len = best")
-    n = F.sum(F.when(F.col("g").isNull(), F.col("c")))
-    return kept.groupBy("id").agg(*(ratio(F.coalesce(F.sum(F.when(F.col("category") == c, F.col("c"))), F.lit(0)), n).alias(f"{c}_liwc") for c in categories))
+    tried = used.select("g").distinct().select("g", F.explode(F.concat(whole, starts)).alias("p")).select("g", "p.*")
+    hits = tried.join(lex, ["is_prefix", "pattern"]).withColumn("len", F.when(F.col("is_prefix"), F.length("pattern")))
+    kept = hits.withColumn("best", F.min("len").over(Window.partitionBy("g"))).where("best is null or len = best").select("g", "category").distinct()
+    sums = used.join(kept, "g").groupBy("id").agg(*(F.sum(F.when(F.col("category") == c, F.col("c"))).alias(c) for c in categories))
+    n = sentences.groupBy("id").agg(F.sum(F.size(tokens)).alias("n"))
+    return n.join(sums, "id", "left").select("id", *(ratio(F.coalesce(F.col(f"`{c}`"), F.lit(0)), F.col("n")).alias(f"{c}_liwc") for c in categories))
 
 
 # parts of speech -----------------------------------------------------------------------------------------------------

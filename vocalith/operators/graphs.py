@@ -1,12 +1,11 @@
 """Word graphs per id: nodes, edges with multiplicity, connectivity and shortest paths.
 
-Counts are aggregates of the distributed edge table. Only connectivity and paths need a graph in one place; each id's
-distinct edges, bounded by the square of a vocabulary and not by the number of words, go to one grouped call.
+Counts are aggregates of the distributed edge table. Only connectivity and paths need a graph in one place: an id's distinct
+edges, bounded by the square of its vocabulary and not by the number of words. Walks of large graphs are split over tasks.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +35,7 @@ def edges(tokens: DataFrame) -> DataFrame:
 
 def graph_counts(e: DataFrame, suffix: str = "_naive") -> DataFrame:
     """num_nodes, num_edges, ave_degree (2E/N), num_p_edges, l1 (loops), d (distinct pairs without loops / N^2)."""
+    e = e.where("mult > 0")  # a plan that needs the multiplicity, too, shares the edges' shuffle with the others
     nodes = e.select("id", F.explode(F.array("src", "dst")).alias("v")).where("v is not null").distinct().groupBy("id").agg(F.count("*").alias("n"))
     real = F.col("dst").isNotNull()
     loop = F.col("src") == F.col("dst")
@@ -96,66 +96,125 @@ def strong_sizes(out: list[list[int]]) -> list[int]:
     return sizes
 
 
-def connectivity(edge_list: list[tuple[str, str | None]]) -> tuple[int, int, int, float]:
-    """lcc, lsc, diameter and average shortest path (over unordered pairs of one component); zeros for nothing."""
-    names: dict[str, int] = {}
-    out: list[list[int]] = []
-    near: list[set[int]] = []
-    for pair in edge_list:
-        for v in pair:
-            if v is not None and v not in names:
-                names[v] = len(names)
-                out.append([])
-                near.append(set())
-        if pair[1] is not None:
-            a, b = names[pair[0]], names[pair[1]]
+#: Sources of shortest paths that are walked at once: bits of one number a vertex.
+SOURCES = 4096
+#: Distinct edges of an id beyond which its sources are split over tasks.
+SPLIT_EDGES = 50_000
+
+
+def _adjacency(edge_list: list[tuple[str, str | None]]) -> tuple[list[list[int]], list[list[int]]]:
+    """Vertices in order of their names, so that every task numbers them alike: directed and undirected neighbours."""
+    names = {v: i for i, v in enumerate(sorted({v for pair in edge_list for v in pair if v is not None}))}
+    out: list[list[int]] = [[] for _ in names]
+    near: list[set[int]] = [set() for _ in names]
+    for x, y in edge_list:
+        if y is not None:
+            a, b = names[x], names[y]
             out[a].append(b)
             if a != b:
                 near[a].add(b)
                 near[b].add(a)
-    if not names:
-        return 0, 0, 0, 0.0
-    lcc = diameter = total = reached = 0
-    for s in range(len(names)):
-        far, queue = {s: 0}, deque([s])
-        while queue:
-            v = queue.popleft()
-            for w in near[v]:
-                if w not in far:
-                    far[w] = far[v] + 1
-                    queue.append(w)
-        lcc = max(lcc, len(far))
-        diameter = max(diameter, max(far.values()))
-        total += sum(far.values())
-        reached += len(far) - 1
-    return lcc, max(strong_sizes(out)), diameter, total / reached if reached else 0.0
-
-
-def graph_connectivity(e: DataFrame, suffix: str = "_naive") -> DataFrame:
+    return out, [list(x) for x in near]
+
+
+def distances(near: list[list[int]], sources: range) -> tuple[int, int, int, int]:
+    """Largest component, diameter, sum of distances and number of reached pairs, over breadth-first walks from ``sources``.
+
+    All walks of a batch go on together: bit i of a vertex's number says whether source i has reached it, and a step is an
+    OR over neighbours.
+    """
+    n, lcc, diameter, total, reached = len(near), 0, 0, 0, 0
+    for first in range(0, len(sources), SOURCES):
+        batch = sources[first : first + SOURCES]
+        seen = [0] * n
+        for bit, v in enumerate(batch):
+            seen[v] = 1 << bit
+        front, step = {v: seen[v] for v in batch}, 0
+        found = len(batch)
+        while front:
+            step += 1
+            ahead: dict[int, int] = {}
+            for v, bits in front.items():
+                for w in near[v]:
+                    ahead[w] = ahead.get(w, 0) | bits
+            front = {}
+            for w, bits in ahead.items():
+                if fresh := bits & ~seen[w]:
+                    seen[w] |= fresh
+                    front[w] = fresh
+            if front:
+                many = sum(bits.bit_count() for bits in front.values())
+                total += step * many
+                found += many
+                diameter = step if step > diameter else diameter
+        reached += found - len(batch)
+    if len(sources):
+        lcc = largest_component(near)
+    return lcc, diameter, total, reached
+
+
+def largest_component(near: list[list[int]]) -> int:
+    seen, most = [False] * len(near), 0
+    for root in range(len(near)):
+        if not seen[root]:
+            seen[root], stack, size = True, [root], 0
+            while stack:
+                v = stack.pop()
+                size += 1
+                for w in near[v]:
+                    if not seen[w]:
+                        seen[w] = True
+                        stack.append(w)
+            most = max(most, size)
+    return most
+
+
+def connectivity(edge_list: list[tuple[str, str | None]]) -> tuple[int, int, int, float]:
+    """lcc, lsc, diameter and average shortest path (over unordered pairs of one component); zeros for nothing."""
+    lcc, lsc, diameter, total, reached = partial_connectivity(edge_list, 0, 1)
+    return lcc, lsc, diameter, total / reached if reached else 0.0
+
+
+def partial_connectivity(edge_list: list[tuple[str, str | None]], part: int, parts: int) -> tuple[int, int, int, int, int]:
+    """lcc, lsc, diameter, sum of distances, reached pairs: those of every ``parts``-th source, from ``part`` on; lsc only in part 0."""
+    out, near = _adjacency(edge_list)
+    if not out:
+        return 0, 0, 0, 0, 0
+    lcc, diameter, total, reached = distances(near, range(part, len(near), parts))
+    return lcc, max(strong_sizes(out)) if part == 0 else 0, diameter, total, reached
+
+
+def graph_connectivity(e: DataFrame, suffix: str = "_naive", split_edges: int = SPLIT_EDGES) -> DataFrame:
     """lcc, lsc, di, asp of each id.
 
     Edges are sorted by id within partitions and streamed in batches, so any number of small graphs costs no call each;
-    one graph at a time is held.
+    one graph at a time is held. An id with more than ``split_edges`` distinct edges is split by sources: each part has all
+    edges and a share of the walks, and sums of distances are added up.
     """
-    schema = f"id string, lcc{suffix} bigint, lsc{suffix} bigint, di{suffix} bigint, asp{suffix} double"
+    schema = "id string, lcc bigint, lsc bigint, di bigint, total bigint, reached bigint"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
         for batch in batches:
             out = []
-            for key, a, b in zip(batch["id"], batch["src"], batch["dst"]):
-                if key != at:
+            for key, part, parts, a, b in zip(batch["id"], batch["part"], batch["parts"], batch["src"], batch["dst"]):
+                if (key, part, parts) != at:
                     if held:
-                        out.append((at, *connectivity(held)))
-                    at, held = key, []
+                        out.append((at[0], *partial_connectivity(held, *at[1:])))
+                    at, held = (key, part, parts), []
                 held.append((a, b if isinstance(b, str) else None))
             if out:
                 yield pd.DataFrame(out, columns=names)
         if held:
-            yield pd.DataFrame([(at, *connectivity(held))], columns=names)
-
-    return e.select(F.col("id").cast("string").alias("id"), "src", "dst").distinct().repartition("id").sortWithinPartitions("id").mapInPandas(measure, schema)
+            yield pd.DataFrame([(at[0], *partial_connectivity(held, *at[1:]))], columns=names)
+
+    distinct = (e.where("mult > 0") if "mult" in e.columns else e).select(F.col("id").cast("string").alias("id"), "src", "dst")
+    large = distinct.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > split_edges).select("id", F.ceil(F.col("n") / split_edges).cast("int").alias("parts"))
+    cut = distinct.join(large, "id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = cut.repartition("id", "part").sortWithinPartitions("id", "part").select("id", "part", "parts", "src", "dst").mapInPandas(measure, schema)
+    whole = parts.groupBy("id").agg(F.max("lcc").alias("lcc"), F.max("lsc").alias("lsc"), F.max("di").alias("di"), F.sum("total").alias("total"), F.sum("reached").alias("reached"))
+    return whole.select("id", *(F.col(c).alias(f"{c}{suffix}") for c in ("lcc", "lsc", "di")), F.coalesce(ratio(F.col("total"), F.col("reached")), F.lit(0.0)).alias(f"asp{suffix}"))
 
 
 def normalised(features: DataFrame, size: DataFrame) -> DataFrame:
