@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from vocalith.functions.keys import clean_key
 from vocalith.functions.literals import with_word_list
 
-#: Width of a time shard in ticks of 100 ns: one hour.
-SHARD_TICKS = 36_000_000_000
+#: Width of a time shard in ticks of 100 ns: five minutes, so that a file with very many intervals is several tasks.
+SHARD_TICKS = 3_000_000_000
 
 
 def _shard_of(at: str, width: int) -> str:
