@@ -166,7 +166,7 @@ def test_both_ways_of_reading_agree():
 def test_buckets_keep_every_type(spark):
     """The distributed fold is the one in memory, and crowded buckets lose no counts."""
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(corpus())], "doc_id bigint, text string")
-    counted = st.expected_counts(docs, None)
+    counted = st.expected_counts(st.events_of(docs), None)
     for buckets in (64, 1 << 14):
         folded = st.fold(counted, buckets).toPandas()
         hashed = folded[folded["side"] == st.PAIR]
@@ -176,3 +176,19 @@ def test_buckets_keep_every_type(spark):
             assert abs(own - whole).max() < 1e-6
         h = counted.where(f"side <= {st.PAIR}").toPandas()["key"].to_numpy().view("uint64")
         assert set(hashed[hashed["row"] == 0]["key"]) == set(st._slots(h, buckets)[0]) and set(hashed[hashed["row"] == 1]["key"]) == set(st._slots(h, buckets)[1])
+
+
+def test_packed_events_are_the_same():
+    import dataclasses
+
+    import numpy as np
+
+    for texts in ([], ["x"], corpus(), ["“One. Two.” he said. A: ‘No. Yes.’", "ก ข. “ค” ง"]):
+        e = st.read(texts)
+        ids, base = np.arange(len(texts)) + 2**40, st._bases(texts)
+        got, i, b = st.unpack(st.pack(e, ids, base))
+        assert np.array_equal(i, ids) and np.array_equal(b, base)
+        for f in dataclasses.fields(e):
+            x, y = getattr(e, f.name), getattr(got, f.name)
+            flat = lambda z: [z] if isinstance(z, np.ndarray) else [v for w in z for v in flat(w)]
+            assert all(np.array_equal(p, q) for p, q in zip(flat(x), flat(y), strict=True)), f.name

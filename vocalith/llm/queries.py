@@ -93,8 +93,8 @@ def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return sentences.split_sentences(docs, sentences.train(docs))
+    events = cut_lineage(sentences.events_of(spread(table(spark, sf, "documents").select("doc_id", "text"))))
+    return sentences.split_events(events, sentences.train_events(events))
 
 
 def p9_text(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,20 +13,23 @@ count however small. Types are known by 64-bit hashes; their counts are added up
 count-min table of fixed size (two rows, the less crowded bucket counts), so that the model has the same size for any
 corpus and no type is left out. Shapes are counted exactly.
 
-Texts are read many at a time: they are cut into words and what stands between them by one expression, each different word
-and each different separator is looked at once, and all else is arithmetic on arrays.
+Texts are read once, many at a time: they are cut into words and what stands between them by one expression, each different
+word and each different separator is looked at once, and all else is arithmetic on arrays. What was read is kept as a table
+of packed events, which the rounds of training and the split go over.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -792,23 +795,26 @@ def cuts(e: Events, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, start, end) of each sentence, in order."""
-    e = read(texts)
+def _cut_spans(e: Events, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, start, end) of each sentence, in order; positions are in the joined texts."""
     cut = cuts(e, model.posteriors(e)[0])
     starts = np.sort(np.concatenate([e.starts, e.next[cut]]))
     ends = np.sort(np.concatenate([e.ends, e.end[cut]]))
     of = e.document[np.searchsorted(e.starts, starts, "right") - 1] if len(starts) else _none()
+    return of, starts, ends
+
+
+def _bases(texts: list[str]) -> np.ndarray:
+    """Where each text begins in the joined ones."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    base = (np.cumsum(sizes) - sizes)[of]
-    return of, starts - base, ends - base
+    return np.cumsum(sizes) - sizes
 
 
 def sentence_spans(text: str | None, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence, in order; together they hold every character that isn't white space."""
     if not text:
         return []
-    _, a, b = _spans([text], model)
+    _, a, b = _cut_spans(read([text]), model)
     return list(zip(a.tolist(), b.tolist()))
 
 
@@ -855,42 +861,99 @@ _counts_type = T.StructType([T.StructField("side", T.IntegerType()), T.StructFie
 _spans_type = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sent_start", T.LongType()), T.StructField("sent_end", T.LongType())])
 
 
-def expected_counts(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """(side, script, key, no, yes): expected counts of all texts, added up per batch before they are shuffled."""
+_events_type = T.StructType([T.StructField("events", T.BinaryType())])
+_HELD = ("within", "closing", "ends_block")
+
+
+def pack(e: Events, ids: np.ndarray, base: np.ndarray) -> bytes:
+    """Events of some texts as bytes, with the texts' numbers and where each begins."""
+    part = {f.name: getattr(e, f.name) for f in fields(Events) if f.name not in ("held", "final", "first")}
+    part |= {f"held{i}{n}": x for i, h in enumerate(e.held) for n, x in zip(_HELD, h)}
+    part |= {f"final{i}": x for i, x in enumerate(e.final)} | {f"first{i}": x for i, x in enumerate(e.first)}
+    part |= {"ids": ids, "base": base}
+    heads, body = [], []
+    for name, x in part.items():
+        if x.dtype == np.int64 and name != "ids" and len(x):  # numbers take the room they need
+            low, high = x.min(), x.max()
+            x = x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+        heads.append((name, x.dtype.str, len(x)))
+        body.append(x.tobytes())
+    head = json.dumps(heads).encode()
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(body), 1)
+
+
+def unpack(blob: bytes) -> tuple[Events, np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    part = {}
+    for name, kind, n in json.loads(raw[4:at]):
+        x = np.frombuffer(raw, np.dtype(kind), n, at)
+        at += x.nbytes
+        part[name] = x.astype(np.int64) if x.dtype.kind == "i" else x
+    held = tuple(tuple(part.pop(f"held{i}{n}") for n in _HELD) for i in range(2))
+    final, first = (tuple(part.pop(f"{k}{i}") for i in range(n)) for k, n in (("final", 3), ("first", 4)))
+    ids, base = part.pop("ids"), part.pop("base")
+    return Events(**part, held=held, final=final, first=first), ids, base
+
+
+def events_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(events): the open events of all texts, some texts a row. Training and splitting go over them as often as they need, without the texts."""
+
+    def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = batch[[bool(x) for x in batch["t"]]]
+            ids = kept["doc_id"].to_numpy(np.int64)
+            for numbers, texts in _chunks(kept["t"].tolist()):
+                yield pd.DataFrame({"events": [pack(read(texts), ids[numbers], _bases(texts))]})
+
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("t is not null").mapInPandas(find, _events_type)
+
+
+def expected_counts(events: DataFrame, model: Model | None) -> DataFrame:
+    """(side, script, key, no, yes): expected counts of all events, added up per batch before they are shuffled."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [count_events(read(texts), model) for _, texts in _chunks([x for x in batch["t"] if x])]
+            found = [count_events(unpack(x)[0], model) for x in batch["events"]]
             if found:
                 yield pd.concat(found, ignore_index=True).groupby(["side", "script", "key"], as_index=False, sort=False)[["no", "yes"]].sum()
 
-    return docs.select(F.col(text).alias("t")).where("t is not null").mapInPandas(count, _counts_type).groupBy("side", "script", "key").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    return events.mapInPandas(count, _counts_type).groupBy("side", "script", "key").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
 
 
-def train(docs: DataFrame, rounds: int = 1, text: str = "text", buckets: int = BUCKETS) -> Model:
-    """The model after a count of certain boundaries and ``rounds`` of expectation maximisation over all of ``docs``.
+def train_events(events: DataFrame, rounds: int = 1, buckets: int = BUCKETS) -> Model:
+    """The model after a count of certain boundaries and ``rounds`` of expectation maximisation over all ``events``.
 
     The counts of all types are one distributed table; only what it is folded into, bounded by ``buckets`` (a power of 2),
     comes to the driver. An empty table gives the model without counts.
     """
     model = None
     for _ in range(rounds + 1):
-        counted = expected_counts(docs, model, text)
+        counted = expected_counts(events, model)
         if model is None:
             counted = _first_distributed(cut_lineage(counted))
         model = model_of(fold(counted, buckets).toPandas(), model, buckets)
     return model
 
 
-def split_sentences(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sent_start, sent_end) in code points. Null and blank texts have no sentences; repeated rows are split each."""
+def split_events(events: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, sent_start, sent_end) in code points."""
 
     def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = batch[[bool(x) for x in batch["t"]]]
-            ids = kept["doc_id"].to_numpy()
-            for numbers, texts in _chunks(kept["t"].tolist()):
-                of, a, b = _spans(texts, model)
-                yield pd.DataFrame({"doc_id": ids[numbers[of]], "sent_start": a, "sent_end": b})
+            for x in batch["events"]:
+                e, ids, base = unpack(x)
+                of, a, b = _cut_spans(e, model)
+                yield pd.DataFrame({"doc_id": ids[of], "sent_start": a - base[of], "sent_end": b - base[of]})
+
+    return events.mapInPandas(split, _spans_type)
+
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null").mapInPandas(split, _spans_type)
+def train(docs: DataFrame, rounds: int = 1, text: str = "text", buckets: int = BUCKETS) -> Model:
+    """``train_events`` of the texts of ``docs``."""
+    return train_events(cut_lineage(events_of(docs.withColumn("_no", F.lit(0)), "_no", text)), rounds, buckets)
+
+
+def split_sentences(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sent_start, sent_end) in code points. Null and blank texts have no sentences; repeated rows are split each."""
+    return split_events(events_of(docs, doc_id, text), model)
