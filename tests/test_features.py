@@ -310,3 +310,24 @@ def test_mattr_over_shards(spark, monkeypatch):
     row = ft.mattr(positions).first()
     for n in ft.MATTR_WINDOWS:
         assert row[f"MATTR_{n}"] == pytest.approx(statistics.mean(len(set(ws[i : i + n])) / n for i in range(len(ws) - n + 1)))
+
+
+def test_windows_and_cv(spark):
+    """Windows by brute force; words that keep one company have a higher coherence than words that never meet."""
+    rng = random.Random(21)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randrange(0, 30))] for _ in range(60)] + [None, []]
+    rows = spark.createDataFrame([(t,) for t in texts], "ws array<string>")
+    words, size = ["a", "c", "g", "zz"], 6
+    want, whole = Counter(), 0
+    for t in texts:
+        for i in range(max(1, len(t) - size + 1)) if t else ():
+            whole += 1
+            held = [k for k, w in enumerate(words) if w in t[i : i + size]]
+            want.update((x, y) for x in held for y in held if x <= y)
+    got = {(r.a, r.b): r.n for r in tp.window_counts(rows.repartition(5), words, size=size).collect()}
+    assert got.pop((None, None)) == whole and got == dict(want)
+    apart = spark.createDataFrame([(["m", "n"] * 3,)] * 20 + [(["x", "u"],), (["y", "v"],)] * 20, "ws array<string>")
+    listed = spark.createDataFrame([(0, 0, "m", 1.0), (0, 1, "n", 1.0), (1, 0, "x", 1.0), (1, 1, "y", 1.0), (2, 0, "none", 1.0)], "topic int, rank int, word string, weight double")
+    cv = {r.topic: r.c_v for r in tp.coherence_cv(listed, apart).collect()}
+    assert cv[0] == pytest.approx(1.0) and cv[1] < 0.3 and cv[2] == 0.0
+    assert {r.c_v for r in tp.coherence_cv(listed, apart.where("false")).collect()} == {0.0}

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from vocalith.functions.keys import clean_key
 
 
+#: Child rows of a key and month that one task orders; more are spread over salts.
+SALT_ROWS = 200_000
+
+
 def _parent_events(parents: DataFrame, key: str, loaded: str, deleted: str) -> DataFrame:
     """Two events a row at most. A row deleted before or when it was loaded was never alive; one without load time neither."""
     rows = parents.select(clean_key(key).alias("k"), F.col(loaded).alias("at"), F.col(deleted).alias("gone")).where("k is not null")
@@ -31,7 +35,7 @@ def _parent_events(parents: DataFrame, key: str, loaded: str, deleted: str) -> D
     return rows.select("k", F.explode(events).alias("x")).select("k", "x.*")
 
 
-def orphan_rows(children: dict[str, tuple[DataFrame, str, str, str]], parents: DataFrame, key: str = "call_id", loaded: str = "loaded_at", deleted: str = "deleted_at", salts: int = 8) -> DataFrame:
+def orphan_rows(children: dict[str, tuple[DataFrame, str, str, str]], parents: DataFrame, key: str = "call_id", loaded: str = "loaded_at", deleted: str = "deleted_at", salts: int | None = None) -> DataFrame:
     """(table_name, row_id, period_month, reason) of each child row whose key no living parent row has at its time.
 
     children: table name -> (rows, id column, key column, time column). Rows with a null or blank key refer to nothing
@@ -40,6 +44,9 @@ def orphan_rows(children: dict[str, tuple[DataFrame, str, str, str]], parents: D
     """
     tables = [rows.select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), clean_key(fk).alias("k"), F.col(at).alias("at")) for name, (rows, row_id, fk, at) in children.items()]
     child = reduce(DataFrame.unionByName, tables).where("k is not null").select("k", "at", *(F.lit(0).alias(c) for c in ("d", "seen", "parents", "timeless")), "table_name", "row_id", F.lit(1).alias("turn"))
+    if salts is None:  # one counting pass, one number
+        most = child.groupBy("k", F.date_trunc("month", F.col("at")).alias("month")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        salts = max(1, -(-(most or 0) // SALT_ROWS))
     parent = _parent_events(parents, key, loaded, deleted).select("k", "at", "d", "seen", "parents", "timeless", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("bigint").alias("row_id"), F.lit(0).alias("turn"))
     events = parent.unionByName(child).withColumn("month", F.date_trunc("month", F.col("at")))
     # level one: sums of each (key, month); no month sorts first and carries nothing

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,78 @@ def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
     return full.groupBy("topic").agg(F.avg(npmi).alias("npmi"))
 
 
+#: Words of a sliding window of the c_v measure, and what is added to its shares.
+CV_WINDOW, CV_EPSILON = 110, 1e-12
+
+
+def window_counts(rows: DataFrame, words: list[str], tokens: str = "ws", size: int = CV_WINDOW) -> DataFrame:
+    """(a, b, n): sliding windows that hold both words, a = b: that word; a and b null: all windows. A text shorter than a window is one.
+
+    Where a word holds is a set of window starts, made per text from its places; texts are counted in batches and only
+    counts of ``words``, a bounded list, leave them.
+    """
+    number = {w: i for i, w in enumerate(words)}
+    schema = "a int, b int, n bigint"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, whole = np.zeros((len(words), len(words)), np.int64), 0
+        for batch in batches:
+            for ws in batch[tokens]:
+                if ws is None or not len(ws):
+                    continue
+                n = max(1, len(ws) - size + 1)
+                whole += n
+                places: dict[int, list[int]] = {}
+                for j, w in enumerate(ws):
+                    if w in number:
+                        places.setdefault(number[w], []).append(j)
+                if not places:
+                    continue
+                own = sorted(places)
+                edges = np.zeros((len(own), n + 1), np.int32)
+                for k, i in enumerate(own):
+                    at = np.array(places[i])
+                    np.add.at(edges[k], np.clip(at - size + 1, 0, n), 1)
+                    np.add.at(edges[k], np.clip(at + 1, 0, n), -1)
+                held = (np.cumsum(edges[:, :n], axis=1) > 0).astype(np.float64)
+                sums[np.ix_(own, own)] += (held @ held.T).astype(np.int64)
+        a, b = np.nonzero(np.triu(sums))
+        yield pd.DataFrame({"a": [*a, None], "b": [*b, None], "n": [*sums[a, b], whole]}).astype({"a": "Int32", "b": "Int32"})
+
+    return rows.select(tokens).mapInPandas(count, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def coherence_cv(topics: DataFrame, rows: DataFrame, tokens: str = "ws", size: int = CV_WINDOW) -> DataFrame:
+    """(topic, c_v): mean cosine of each word's vector of normalised mutual information with the sum of the topic's vectors.
+
+    Texts are the rows. Only the topics' words and their counts of pairs, bounded by topics x words squared, come to the driver.
+    """
+    listed = {}
+    for r in topics.orderBy("topic", "rank").collect():  # a few words a topic
+        listed.setdefault(r.topic, []).append(r.word)
+    words = sorted({w for ws in listed.values() for w in ws})
+    counts = np.zeros((len(words), len(words)))
+    whole = 0
+    for r in window_counts(rows, words, tokens, size).collect():
+        if r.a is None:
+            whole = r.n
+        else:
+            counts[r.a, r.b] = counts[r.b, r.a] = r.n
+    out = []
+    p = counts / max(whole, 1)
+    for topic, ws in listed.items():
+        i = [words.index(w) for w in ws]
+        both, single = p[np.ix_(i, i)], np.diag(p)[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            npmi = np.log((both + CV_EPSILON) / np.outer(single, single)) / -np.log(both + CV_EPSILON)
+        npmi = np.nan_to_num(npmi, nan=0.0, posinf=0.0, neginf=0.0)
+        total = npmi.sum(axis=0)
+        length = np.linalg.norm(npmi, axis=1) * np.linalg.norm(total)
+        cosine = np.divide(npmi @ total, length, out=np.zeros(len(i)), where=length > 0)
+        out.append((int(topic), float(cosine.mean())))
+    return topics.sparkSession.createDataFrame(out, "topic int, c_v double")
+
+
 def sweep(bag: DataFrame, ks: range = range(2, 40, 5), iterations: int = 5) -> DataFrame:
     """(k, npmi): mean coherence for each number of topics. Each is taken to its one row before the next, so plans don't add up on the driver."""
     bag = cut_lineage(bag)

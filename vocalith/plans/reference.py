@@ -112,6 +112,16 @@ def graph_connectivity(spark, sf):
     return r6(graphs.graph_connectivity(graphs.edges(graphs.naive_tokens(_each(spark, sf).where("text is not null")))))
 
 
+def graph_connectivity_call(spark, sf):
+    """One graph a call."""
+    return r6(graphs.graph_connectivity(graphs.edges(graphs.naive_tokens(_segments(spark, sf)))))
+
+
+def graph_features_naive(spark, sf):
+    """Counts, connectivity and paths of each call's word graph, and all of them over the call's characters."""
+    return r6(graphs.graph_features(_segments(spark, sf)))
+
+
 def graph_features(spark, sf):
     return r6(pipeline.graph(_segments(spark, sf)))
 
@@ -338,6 +348,13 @@ def topic_coherence(spark, sf):
     return topics.coherence(topics.topic_words(model, vocabulary), bag)
 
 
+def topic_coherence_cv(spark, sf):
+    """Coherence of the topics' words by their company in sliding windows."""
+    corpus = topics.corpus(_tokens(spark, sf), STOP)
+    model, vocabulary = topics.train_topics(topics.trim_vocabulary(topics.bag_of_words(corpus)), 5)
+    return topics.coherence_cv(topics.topic_words(model, vocabulary), corpus)
+
+
 def topic_sweep(spark, sf):
     return topics.sweep(_bag(spark, sf))
 
@@ -346,10 +363,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         verbosity_word_stats, verbosity_syllables, mattr, honore, honore_by_feature, clean_text, sentence_split, liwc_fractions, pos_from_tags, pos_by_call,
-        graph_counts, graph_loops, graph_connectivity, graph_features, non_verbal_ratios,
+        graph_counts, graph_loops, graph_connectivity, graph_connectivity_call, graph_features_naive, graph_features, non_verbal_ratios,
         ms_timing, ms_timing_day, call_activity, call_activity_split, kaldi_timing, kaldi_timing_segment, kaldi_timing_day, kaldi_timing_week, kaldi_timing_subject, transcript_diversity_subject, kaldi_confidence, kaldi_confidence_day, kaldi_confidence_week, kaldi_confidence_subject, kaldi_confidence_segment, confidence_stats, confidence_by_feature, describe5_lineitem,
         level_call, level_day, call_type_filter, call_durations,
-        hypothesis_mean, stopword_filter, sound_filter, min_words_filter, bag_of_words, vocab_trim, phrase_scores, phrase_apply, phrase_triples, topics_lda, topic_coherence, topic_sweep,
+        hypothesis_mean, stopword_filter, sound_filter, min_words_filter, bag_of_words, vocab_trim, phrase_scores, phrase_apply, phrase_triples, topics_lda, topic_coherence, topic_coherence_cv, topic_sweep,
     )
 }
 
@@ -478,6 +495,20 @@ SQL: dict[str, str] = {
  select * from (select bi.a, bi.b, n_ab, round((n_ab - 5) * cast(v as double) / (x.n * y.n), 6) as score from bi join uni x on bi.a = x.w join uni y on bi.b = y.w, v where n_ab > 5) where score > {PHRASE_THRESHOLD}""",
 }
 
+# breadth-first search that keeps the first distance of each pair, without a bound on the steps
+SQL["graph_connectivity_call"] = f"""with recursive {_SEG}, {_NAIVE}, {_SINGLE}, nodes as (select id, src as v from e union select id, dst from e union select id, v from alone),
+ und as (select id, src as a, dst as b from e where src <> dst union select id, dst, src from e where src <> dst), dirr as (select distinct id, src as a, dst as b from e),
+ far(id, a, b, d) using key (id, a, b) as (select id, v, v, 0 from nodes union (select distinct f.id, f.a, u.b, f.d + 1 from far f join und u on f.id = u.id and f.b = u.a left join recurring.far r on r.id = f.id and r.a = f.a and r.b = u.b where r.d is null)),
+ reach(id, a, b) as (select id, v, v from nodes union select r.id, r.a, x.b from reach r join dirr x on r.id = x.id and r.b = x.a),
+ strong as (select p.id, p.a, count(*) as n from reach p join reach q on p.id = q.id and p.a = q.b and p.b = q.a group by p.id, p.a),
+ weak as (select id, a, count(*) as n, sum(d) as t, max(d) as m from far group by id, a)
+ select w.id, max(w.n) as lcc_naive, max(s.n) as lsc_naive, cast(max(w.m) as bigint) as di_naive, round(coalesce(cast(sum(w.t) as double) / nullif(sum(w.n - 1), 0), 0), 6) as asp_naive from weak w join strong s on w.id = s.id and w.a = s.a group by w.id"""
+_GRAPH = ("num_nodes", "num_edges", "ave_degree", "num_p_edges", "l1", "d", "lcc", "lsc", "di", "asp")
+_CONNECTED = SQL["graph_connectivity_call"].replace("round(coalesce(cast(sum(w.t) as double) / nullif(sum(w.n - 1), 0), 0), 6) as asp_naive", "coalesce(cast(sum(w.t) as double) / nullif(sum(w.n - 1), 0), 0) as asp_naive")
+_COUNTED = SQL["graph_counts"].replace(_ratio("2 * coalesce(m, 0)", "n"), "cast(2 * coalesce(m, 0) as double) / n").replace(_ratio("coalesce(pairs, 0)", "n * n"), "cast(coalesce(pairs, 0) as double) / (n * n)")
+SQL["graph_features_naive"] = f"""select id, {", ".join(f"{f'round({c}_naive, 6)' if c in ('ave_degree', 'd', 'asp') else f'{c}_naive'} as {c}_naive, {_ratio(f'{c}_naive', 'chars')} as {c}_naive_norm" for c in _GRAPH)}
+ from ({_COUNTED}) join ({_CONNECTED}) using (id) join (with {_SEG} select id, sum(length({_sql_clean("coalesce(text, 'nan')")})) as chars from seg group by id) using (id)"""
+
 
 def _phrase_sql(n: int, least: int = 5) -> str:
     """Round n of phrases: ``t{n-1}`` (result_id, ws) -> ``t{n}``; greedy from left to right, one step a word."""
