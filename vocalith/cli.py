@@ -13,7 +13,8 @@ from vocalith.plans.pipeline import DEFAULT, REGISTRY, extract
 from vocalith.plans.transcripts import transcript_features
 from vocalith.functions import text as tx
 from vocalith.functions.keys import clean_key
-from vocalith.functions.providers import LEXICON, rule_lemma
+from vocalith.functions.libraries import library_providers
+from vocalith.functions.providers import LEXICON, Providers, rule_lemma
 from vocalith.session import let_workers_import
 from vocalith.sources import files, sinks
 
@@ -36,6 +37,10 @@ def _dictionary(spark: SparkSession, a: argparse.Namespace):
     return files.load_dictionary(spark, a.dictionary) if a.dictionary else LEXICON
 
 
+def _providers(a: argparse.Namespace) -> Providers:
+    return library_providers() if a.libraries else Providers()
+
+
 def _with_id(df, level: str):
     """The keys of the level stay; together they are the id."""
     return df.withColumn("id", F.concat_ws("_", *(F.col(k).cast("string") for k in sg.LEVEL_KEYS[level])))
@@ -54,6 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "features":
             p.add_argument("--feature_list", nargs="*", default=list(DEFAULT))
             p.add_argument("--dictionary", help=".dic file of word categories")
+            p.add_argument("--libraries", action="store_true", help="use NLTK, truecase and textstat where they are installed")
         if name == "timing":
             p.add_argument("-d", "--duration_file_path")
     p = jobs.add_parser("aggregate")
@@ -77,6 +83,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "transcripts":
             p.add_argument("-f", "--feature_type", choices=list(REGISTRY), required=True)
             p.add_argument("--dictionary", help=".dic file of word categories")
+            p.add_argument("--libraries", action="store_true", help="use NLTK, truecase and textstat where they are installed")
     p = jobs.add_parser("topics")
     p.add_argument("-t", "--transcript_dir", required=True)
     p.add_argument("-w", "--min_word_count", type=int, default=50)
@@ -86,7 +93,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     let_workers_import(spark)
     if a.job == "features":
-        for name, df in extract(_segments(spark, a), tuple(a.feature_list), _dictionary(spark, a)).items():
+        for name, df in extract(_segments(spark, a), tuple(a.feature_list), _dictionary(spark, a), _providers(a)).items():
             sinks.write_features(df, a.output_dir, name)
     elif a.job == "timing":
         total = None
@@ -112,7 +119,7 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_features(_with_id(features.confidence(scores, sg.LEVEL_KEYS[a.level], "conf"), a.level), a.output_dir, "asr_confidence", "parquet")
     elif a.job == "transcripts":
         rows = files.hypotheses(spark, a.input_dir).withColumn("call_id", clean_key("call_id"))
-        df = transcript_features(rows, _calls(spark, a), a.level, a.feature_type, dictionary=_dictionary(spark, a))
+        df = transcript_features(rows, _calls(spark, a), a.level, a.feature_type, dictionary=_dictionary(spark, a), providers=_providers(a))
         sinks.write_features(_with_id(df, a.level), a.output_dir, a.feature_type, "parquet")
     else:
         rows = files.hypotheses(spark, a.transcript_dir).select(F.col("call_id").alias("id"), "hyp_no", tx.words("text").alias("ws"))

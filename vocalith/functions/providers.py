@@ -1,7 +1,7 @@
 """Language models the features need: taggers, lemmatisers, truecasers and dictionaries.
 
-Each default is a small stand-in made of rules, inside the JVM; a provider is a function of a Column, so any pandas UDF
-over a real library takes its place.
+Each default is a small stand-in made of rules, inside the JVM; a provider is a function of a Column, so a pandas UDF over a
+real library takes its place: see ``libraries``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalith.functions.text import syllables
+
 #: Closed word classes of English, by Penn tag.
 CLOSED = {
     "PRP": "i you he she it we they me him us them myself",
@@ -61,6 +63,16 @@ class Providers:
     tag: Callable[[Column], Column] = field(default=rule_tag)
     lemma: Callable[[Column], Column] = field(default=rule_lemma)
     truecase: Callable[[Column], Column] = field(default=sentence_case)
+    syllables: Callable[[Column], Column] = field(default=syllables)
+    #: Models that see a whole sentence (array of words in, array out) take the place of those for single words.
+    tag_all: Callable[[Column], Column] | None = None
+    lemma_all: Callable[[Column], Column] | None = None
+
+    def tags(self, tokens: Column) -> Column:
+        return self.tag_all(tokens) if self.tag_all else F.transform(tokens, self.tag)
+
+    def lemmas(self, tokens: Column) -> Column:
+        return self.lemma_all(tokens) if self.lemma_all else F.transform(tokens, self.lemma)
 
 
 #: A small dictionary of our own with single words, prefixes (*), a pair and a triple of words: (pattern, category).

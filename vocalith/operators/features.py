@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,13 @@ def word_stats(sentences: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(*describe5(F.col("n"), "wc", names=names), F.sum("n").alias("total_count"), ratio(F.sum("long"), F.sum("n")).alias("lw_count"), ratio(F.sum("chars"), F.sum("n")).alias("word_len"))
 
 
-def syllable_stats(sentences: DataFrame) -> DataFrame:
+def syllable_stats(sentences: DataFrame, syllables: Callable[[Column], Column] = tx.syllables) -> DataFrame:
     words = sentences.select("id", F.explode(tx.words("text")).alias("w"))
-    return words.groupBy("id").agg(*describe5(tx.syllables("w"), "syll", names=("max", "min", "mean", "median", "stdev")))
+    return words.groupBy("id").agg(*describe5(syllables(F.col("w")), "syll", names=("max", "min", "mean", "median", "stdev")))
 
 
-def verbosity(sentences: DataFrame) -> DataFrame:
-    return word_stats(sentences).join(syllable_stats(sentences), "id")
+def verbosity(sentences: DataFrame, syllables: Callable[[Column], Column] = tx.syllables) -> DataFrame:
+    return word_stats(sentences).join(syllable_stats(sentences, syllables), "id")
 
 
 # lexical diversity ---------------------------------------------------------------------------------------------------

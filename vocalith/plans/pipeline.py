@@ -21,8 +21,12 @@ def tagged_tokens(sentences: DataFrame, providers: Providers) -> DataFrame:
     """(id, sent_no, i, w, tag); all-lower sentences are truecased first, empty tokens are left out."""
     s = F.col("text")
     cased = sentences.withColumn("text", F.when(tx.is_lower(s), providers.truecase(s)).otherwise(s))
-    tokens = cased.select("id", "sent_no", F.posexplode(tx.words("text")).alias("i", "w")).where("w <> ''")
-    return tokens.withColumn("tag", providers.tag(F.col("w")))
+    if providers.tag_all is None:
+        tokens = cased.select("id", "sent_no", F.posexplode(tx.words("text")).alias("i", "w")).where("w <> ''")
+        return tokens.withColumn("tag", providers.tag(F.col("w")))
+    words = cased.select("id", "sent_no", F.filter(tx.words("text"), lambda w: w != "").alias("ws"))
+    tagged = words.withColumn("tags", providers.tags(F.col("ws")))
+    return tagged.select("id", "sent_no", F.posexplode(F.arrays_zip("ws", "tags")).alias("i", "x")).select("id", "sent_no", "i", F.col("x.ws").alias("w"), F.col("x.tags").alias("tag"))
 
 
 def pos(segments: DataFrame, providers: Providers = Providers()) -> DataFrame:
@@ -34,8 +38,8 @@ def liwc(segments: DataFrame, rows=LEXICON) -> DataFrame:
     return features.liwc(prepared_sentences(segments), lexicon(segments.sparkSession, rows), categories(rows))
 
 
-def verbosity(segments: DataFrame) -> DataFrame:
-    return features.verbosity(prepared_sentences(segments))
+def verbosity(segments: DataFrame, providers: Providers = Providers()) -> DataFrame:
+    return features.verbosity(prepared_sentences(segments), providers.syllables)
 
 
 def graph(segments: DataFrame, providers: Providers = Providers(), norm_by: str = "chars", pos_graph_on: str = "lemma") -> DataFrame:
@@ -43,8 +47,8 @@ def graph(segments: DataFrame, providers: Providers = Providers(), norm_by: str
     s = tx.clean(tx.text_or_nan("text"))
     cased = segments.withColumn("_s", F.when(tx.is_lower(s), providers.truecase(s)).otherwise(s))
     split = F.filter(tx.words("_s"), lambda w: w != "")
-    lemmas = cased.select("id", F.transform(split, providers.lemma).alias("ws"))
-    tagged = cased.select("id", F.transform(F.transform(split, providers.lemma) if pos_graph_on == "lemma" else split, providers.tag).alias("ws"))
+    lemmas = cased.select("id", providers.lemmas(split).alias("ws"))
+    tagged = (lemmas if pos_graph_on == "lemma" else cased.select("id", split.alias("ws"))).select("id", providers.tags(F.col("ws")).alias("ws"))
     return graphs.graph_features(segments, {"naive": graphs.naive_tokens(segments), "lemma": lemmas, "pos": tagged}, norm_by)
 
 
@@ -68,5 +72,5 @@ def extract(segments: DataFrame, names: tuple[str, ...] = DEFAULT, dictionary=LE
     unknown = [n for n in names if n not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown feature sets: {', '.join(unknown)}; there are {', '.join(REGISTRY)}")
-    settings = {"liwc": {"rows": dictionary}, "pos": {"providers": providers}, "graph": {"providers": providers}}
+    settings = {"liwc": {"rows": dictionary}, "pos": {"providers": providers}, "graph": {"providers": providers}, "verbosity": {"providers": providers}}
     return {n: REGISTRY[n](segments, **settings.get(n, {})) for n in names}
