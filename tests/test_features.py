@@ -331,3 +331,36 @@ def test_windows_and_cv(spark):
     cv = {r.topic: r.c_v for r in tp.coherence_cv(listed, apart).collect()}
     assert cv[0] == pytest.approx(1.0) and cv[1] < 0.3 and cv[2] == 0.0
     assert {r.c_v for r in tp.coherence_cv(listed, apart.where("false")).collect()} == {0.0}
+
+
+def test_describe_table_is_exact(spark):
+    """Large and small groups, ties, nulls, NaN, groups of none and null keys, against Python."""
+    from vocalith.functions.stats import describe5_table
+
+    rng = random.Random(17)
+    groups = {"big": [rng.gauss(0, 1) for _ in range(20_001)], "even": [rng.random() for _ in range(20_000)], "ties": [float(rng.choice((1, 2, 2, 3))) for _ in range(15_000)], "half": [0.0] * 6000 + [1.0] * 6000, "two": [1.0, 4.0], None: [5.0, 7.0, 9.0], "none": [None, float("nan")]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("two", None), ("big", float("nan"))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for small in (0, 10, 100_000):
+        got = {r.k: r for r in describe5_table(df, ["k"], F.col("v"), "p", small).collect()}
+        assert set(got) == set(groups) and tuple(got["none"])[1:] == (None,) * 5
+        for k, vs in groups.items():
+            if k != "none":
+                assert (got[k].p_max, got[k].p_min, got[k].p_med) == (max(vs), min(vs), statistics.median(vs))
+                assert got[k].p_mean == pytest.approx(statistics.mean(vs)) and got[k].p_std == pytest.approx(statistics.pstdev(vs))
+    assert describe5_table(df.where("false"), ["k"], F.col("v"), "p").count() == 0
+
+
+def test_loops_from_the_least_vertex(spark):
+    """Hubs, ties of degrees, walks both ways round, against all triples."""
+    rng = random.Random(19)
+    e = Counter()
+    for _ in range(160):
+        a, b = rng.choice("abcdefgh"), rng.choice(("a", "a", *"abcdefgh"))
+        e[a, b] += 1
+    nodes = sorted({v for p in e for v in p})
+    l2 = sum(e[a, b] * e[b, a] for a in nodes for b in nodes if a != b) / 2
+    l3 = sum(e[a, b] * e[b, c] * e[c, a] for a in nodes for b in nodes for c in nodes if len({a, b, c}) == 3) / 3
+    df = spark.createDataFrame([("x", a, b, m) for (a, b), m in e.items() if m] + [("y", "p", None, 2)], "id string, src string, dst string, mult bigint")
+    assert {r.id: (r.l2, r.l3) for r in gr.graph_loops(df, "").collect()} == {"x": (l2, l3), "y": (0.0, 0.0)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Suffixes in output order.
@@ -24,6 +26,40 @@ def describe5(value: Column, prefix: str, when: Column | None = None, names: tup
     return [(c.cast("double") if unit is None else c.cast("double") * unit).alias(f"{prefix}_{n}") for c, n in zip(columns, names)]
 
 
+#: Groups of up to so many rows are settled by one aggregate.
+SMALL = 100_000
+#: Half the width, in shares of a group, of the range that is sure to hold its median: twice the error of the sketch that finds it.
+HALF_WIDTH = 4e-4
+
+
+def describe5_table(df: DataFrame, keys: list[str], value: Column, prefix: str, small: int = SMALL) -> DataFrame:
+    """keys and the five columns of ``describe5``, for groups of any size and any number of different values.
+
+    The median is exact without a counter per value: a first pass bounds it by a sketch, a second counts the values below
+    the bounds and orders only those between them. Null and NaN values are none; a group of none has nulls, as there.
+    Groups of at most ``small`` rows go the short way.
+    """
+    rows = df.select(*keys, value.cast("double").alias("v")).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    first = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.max("v").alias("max"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile_approx("v", [0.5 - HALF_WIDTH, 0.5 + HALF_WIDTH], 5_000).alias("q"))
+    # beyond the sketch's own error the bounds move out by one more of it; in small groups they are the ends
+    wide = first.withColumn("lo", F.when(F.col("n") <= small, F.col("min")).otherwise(F.col("q")[0])).withColumn("hi", F.when(F.col("n") <= small, F.col("max")).otherwise(F.col("q")[1]))
+    held = _with(rows.where("v is not null"), wide.select(*keys, "lo", "hi"), keys)
+    # values below the range are one row, those in it are counted
+    slot = F.when(F.col("v") < F.col("lo"), F.lit(float("-inf"))).when(F.col("v") <= F.col("hi"), F.col("v"))
+    counted = held.withColumn("s", slot).where("s is not null").groupBy(*keys, "s").agg(F.count("*").alias("c"))
+    ranked = _with(counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("s"))), first.select(*keys, "n"), keys)
+    low, high = F.min(F.when(2 * F.col("upto") >= F.col("n"), F.col("s"))), F.min(F.when(2 * F.col("upto") > F.col("n"), F.col("s")))
+    out = _with(first, ranked.groupBy(*keys).agg(((low + high) / 2).alias("med")), keys, "left")
+    return out.select(*keys, *(F.col(c).alias(f"{prefix}_{c}") for c in SUFFIXES))
+
+
+def _with(rows: DataFrame, more: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the columns of ``more``; null keys meet."""
+    named = more.withColumnsRenamed({k: f"_with_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_with_{k}")) for k in keys))
+    return rows.join(named, on, how).drop(*(f"_with_{k}" for k in keys))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null if b is 0 or null."""
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))

@@ -46,11 +46,23 @@ def graph_counts(e: DataFrame, suffix: str = "_naive") -> DataFrame:
 
 
 def graph_loops(e: DataFrame, suffix: str = "_naive") -> DataFrame:
-    """l2 and l3: closed walks of two and three different steps, by multiplicity, over two and three."""
+    """l2 and l3: closed walks of two and three different steps, by multiplicity, each counted once.
+
+    A walk of three steps is looked for from its vertex of fewest neighbours: only steps into and out of that vertex are
+    joined, so that a word with very many neighbours makes no paths of its own.
+    """
     x = e.where("dst is not null and src <> dst").select("id", "src", "dst", "mult")
-    y, z = x.toDF("id", "dst", "third", "mult2"), x.toDF("id", "third", "back", "mult3")
-    l2 = x.join(y, ["id", "dst"]).where("third = src").groupBy("id").agg((F.sum(F.col("mult") * F.col("mult2")) / 2).alias("l2"))
-    l3 = x.join(y, ["id", "dst"]).join(z, ["id", "third"]).where("back = src").groupBy("id").agg((F.sum(F.col("mult") * F.col("mult2") * F.col("mult3")) / 3).alias("l3"))
+    back = x.select("id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("mult").alias("mult2"))
+    l2 = x.where("src < dst").join(back, ["id", "src", "dst"]).groupBy("id").agg(F.sum(F.col("mult") * F.col("mult2")).cast("double").alias("l2"))
+    degree = x.select("id", F.explode(F.array("src", "dst")).alias("v")).groupBy("id", "v").agg(F.count("*").alias("deg"))
+    of = lambda end: degree.select("id", F.col("v").alias(end), F.col("deg").alias(f"{end}_deg"))
+    ranked = x.join(of("src"), ["id", "src"]).join(of("dst"), ["id", "dst"])
+    first, last = F.struct("src_deg", "src"), F.struct("dst_deg", "dst")
+    # into and out of the least vertex (mid), and the step that closes the walk
+    into = ranked.where(last < first).select("id", F.col("dst").alias("mid"), F.col("src").alias("a"), F.col("mult").alias("m1"))
+    out = ranked.where(first < last).select("id", F.col("src").alias("mid"), F.col("dst").alias("c"), F.col("mult").alias("m2"))
+    closing = x.select("id", F.col("src").alias("c"), F.col("dst").alias("a"), F.col("mult").alias("m3"))
+    l3 = into.join(out, ["id", "mid"]).join(closing, ["id", "c", "a"]).groupBy("id").agg(F.sum(F.col("m1") * F.col("m2") * F.col("m3")).cast("double").alias("l3"))
     ids = e.select("id").distinct()
     return ids.join(l2, "id", "left").join(l3, "id", "left").select("id", *(F.coalesce(k, F.lit(0.0)).alias(f"{k}{suffix}") for k in ("l2", "l3")))
 

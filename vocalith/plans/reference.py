@@ -10,7 +10,7 @@ from vocalith.functions import text as tx
 from vocalith.functions.keys import clean_key
 from vocalith.functions.literals import with_word_list
 from vocalith.functions.providers import CLOSED, ENDINGS, LEXICON, Providers
-from vocalith.functions.stats import describe5
+from vocalith.functions.stats import describe5, describe5_table
 from vocalith.operators import features, graphs, topics
 from vocalith.operators import segments as sg
 from vocalith.plans import pipeline
@@ -250,7 +250,9 @@ def confidence_by_feature(spark, sf):
 
 
 def describe5_lineitem(spark, sf):
-    return r6(table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*describe5(F.col("l_quantity"), "qty"), *describe5(F.col("l_extendedprice"), "price")))
+    rows, keys = table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"]
+    prices = describe5_table(rows, keys, F.col("l_extendedprice"), "price")
+    return r6(rows.groupBy(*keys).agg(*describe5(F.col("l_quantity"), "qty")).join(prices, keys))
 
 
 # levels
