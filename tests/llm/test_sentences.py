@@ -192,3 +192,11 @@ def test_packed_events_are_the_same():
             x, y = getattr(e, f.name), getattr(got, f.name)
             flat = lambda z: [z] if isinstance(z, np.ndarray) else [v for w in z for v in flat(w)]
             assert all(np.array_equal(p, q) for p, q in zip(flat(x), flat(y), strict=True)), f.name
+
+
+def test_null_and_large_numbers(spark):
+    """Documents without number, with the same one, with very large ones; nulls beside them."""
+    rows = [(None, "She paused. They paused."), (2**62 + 1, "One."), (5, "Two."), (5, "Two."), (6, None), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.sent_end) for r in st.split_sentences(docs, st.train(docs)).collect())
+    assert [x for x in got if x[0] != "None"] == [(str(2**62 + 1), 4), ("5", 4), ("5", 4)] and {x[0] for x in got if x not in got[:3]} == {"None"}

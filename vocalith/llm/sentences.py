@@ -862,6 +862,8 @@ _spans_type = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField
 
 
 _events_type = T.StructType([T.StructField("events", T.BinaryType())])
+#: Stands for a null number of a document in between.
+_NO_ID = -(2**63)
 _HELD = ("within", "closing", "ends_block")
 
 
@@ -906,7 +908,8 @@ def events_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             for numbers, texts in _chunks(kept["t"].tolist()):
                 yield pd.DataFrame({"events": [pack(read(texts), ids[numbers], _bases(texts))]})
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("t is not null").mapInPandas(find, _events_type)
+    number = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID))
+    return docs.select(number.alias("doc_id"), F.col(text).alias("t")).where("t is not null").mapInPandas(find, _events_type)
 
 
 def expected_counts(events: DataFrame, model: Model | None) -> DataFrame:
@@ -937,7 +940,7 @@ def train_events(events: DataFrame, rounds: int = 1, buckets: int = BUCKETS) ->
 
 
 def split_events(events: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, sent_start, sent_end) in code points."""
+    """(doc_id, sent_start, sent_end) in code points; texts without number have a null one."""
 
     def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -946,7 +949,8 @@ def split_events(events: DataFrame, model: Model) -> DataFrame:
                 of, a, b = _cut_spans(e, model)
                 yield pd.DataFrame({"doc_id": ids[of], "sent_start": a - base[of], "sent_end": b - base[of]})
 
-    return events.mapInPandas(split, _spans_type)
+    found = events.mapInPandas(split, _spans_type)
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
 
 
 def train(docs: DataFrame, rounds: int = 1, text: str = "text", buckets: int = BUCKETS) -> Model:
