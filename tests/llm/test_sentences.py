@@ -200,3 +200,11 @@ def test_null_and_large_numbers(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((str(r.doc_id), r.sent_end) for r in st.split_sentences(docs, st.train(docs)).collect())
     assert [x for x in got if x[0] != "None"] == [(str(2**62 + 1), 4), ("5", 4), ("5", 4)] and {x[0] for x in got if x not in got[:3]} == {"None"}
+
+
+def test_lines_that_run_on(model):
+    """After a comma a small letter goes on; unpunctuated lines of like lengths stand alone; blanks that don't break are no breaks."""
+    assert split("The caller paused,\nand she asked again.\nThey paused.", model) == ["The caller paused,\nand she asked again.", "They paused."]
+    lines = ["i can't remember the date", "the heating's off again by myself", "work was slow today two weeks ago", "work was slow today last night at", "right my brother's car broke down", "so i can't remember the date"]
+    assert split("\n".join(lines), model) == lines
+    assert split("1286. The caller paused.\n1287. She asked again.", model) == ["1286. The caller paused.", "1287. She asked again."]

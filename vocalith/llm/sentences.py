@@ -42,6 +42,7 @@ TIGHT = "。！？｡…"
 OPENS = "«“„「『(（[【《‘"
 CLOSES = "”»」』)）]】》’"
 STRAIGHT = "\"'"
+COMMAS = ",،、，"
 OTHERS = ",;:،؛、，：—–¿¡\u037e"
 _BLANK = " \t\u00a0\u202f\u2009\u3000\n\r"
 #: What asks a question in Greek.
@@ -55,6 +56,7 @@ _PHRASE = re.compile(rf"([^\s\x00{_INSIDE}]+(?:(?: |['’](?=[^\W_]))[^\s\x00{_I
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _TAG = re.compile(r"\s*(?:[-•*–—▪◦·‣]\s+|\(?\d+[.)]\s+|(?:[A-Za-z]\)|[a-zA-C]\.)\s+|[^\W\d_][\w '’-]*(?::(?=\s)|(?<![说道问答喊曰])：)\s*)")
 _RUN = re.compile(rf"[{MARKS}]+")
+_ENDED = re.compile(rf"[^\W\d_][{MARKS}]+(?:\s|$)")
 _GREEK_RUN = re.compile(rf"[{MARKS}{_GREEK}]+")
 _DIGITS = re.compile(r"\d")
 _GAP = re.compile(r"[ \t\u00a0\u202f\u2009\u3000]+")
@@ -93,14 +95,14 @@ def _set_to_width(text: str, lines: list[tuple[int, int]], size: list[int], a: i
     for i in range(a, b):
         following = text[lines[i + 1][0] : lines[i + 1][1]].lstrip()
         mixed = bool(_THAI.match(text[lines[i][0] + size[i] - 1])) != bool(_THAI.match(following[:1]))
-        fits.append(None if mixed or _TAG.match(following) else size[i] + 1 + len(following.split(None, 1)[0]) >= width)
+        fits.append(None if mixed or _TAG.match(following) else size[i] + 1 + len(following.split(" ", 1)[0]) >= width)
     # a heading may stand on top; most other breaks of the paragraph have to be breaks of setting
     body = [x for x in fits[1:] if x is not None]
     if usual:
         good = sum(body) >= 0.75 * len(body) and (body or fits[0])
-    else:  # any other width: several breaks, all of setting, in lines of several words that don't end sentences
+    else:  # any other width: several breaks, all of setting, in lines of several words that don't end sentences, though some end in them
         inside = [text[x:y].rstrip() for x, y in lines[a:b]]
-        good = len(body) >= 4 and all(body) and sum(len(x.split()) for x in inside) >= 4 * len(inside) and sum(x[-1:] not in MARKS for x in inside) > len(inside) // 2
+        good = any(_ENDED.search(x) for x in inside) and len(body) >= 4 and all(body) and sum(len(x.split()) for x in inside) >= 4 * len(inside) and sum(x[-1:] not in MARKS for x in inside) > len(inside) // 2
     return [bool(x) and bool(good) for x in fits]
 
 
@@ -128,6 +130,10 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
             if end > at and (end - at > 4 or WIDTHS[0] <= width <= WIDTHS[1]):
                 joins[at:end] = _set_to_width(text, lines, size, at, end, width)
             at = max(end, at + 1)
+        for i in range(last):  # after a comma a small letter goes on
+            if close[i] and not joins[i] and text[lines[i][0] + size[i] - 1] in COMMAS:
+                c = text[lines[i + 1][0] : lines[i + 1][1]].lstrip()[0]
+                joins[i] = c.isalpha() and not c.isupper()
     start = lines[0][0]
     for i, (_, b) in enumerate(lines):
         if i == last or not joins[i]:
