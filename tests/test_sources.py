@@ -110,3 +110,14 @@ def test_activity_command(spark, tmp_path):
     cli.main(["activity", "-i", f"{tmp_path}/timing_features", "-o", str(tmp_path)])
     row = spark.read.option("header", True).csv(f"{tmp_path}/day_all_call_act").first()
     assert (row.subject_id, row.date, float(row.segment_count)) == ("s_1", "2021-02-03", 0.0) and "more" not in row.asDict()
+
+
+def test_headers_of_many_files(spark, tmp_path):
+    """Blanks and signs in names, an empty file, a header of its own in each."""
+    d = tmp_path / "with blank 50%"
+    d.mkdir()
+    for i in range(4):
+        (d / f"f {i}.csv").write_text(("order," if i % 2 else "") + HEAD + ("3," if i % 2 else "") + ROW.format(i, i))
+    (d / "none.csv").write_text("")
+    df = files.recognizer_results(spark, [str(p) for p in sorted(d.iterdir())])
+    assert sorted((r.audio_file_id, r.segment_number, r.order) for r in df.collect()) == [("c0", 0, None), ("c1", 1, 3), ("c2", 2, None), ("c3", 3, 3)]

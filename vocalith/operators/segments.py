@@ -51,7 +51,7 @@ def call_days(rows: DataFrame, sites: DataFrame) -> DataFrame:
     Of several rows of a call, the last loaded that states one counts; calls without any are left out. Slashed dates
     follow the site's ``date_order`` (else DMY, as in ``moments.normalise``); a count since 1970 states its date in UTC.
     """
-    site = F.broadcast(sites.select("site_id", "date_order"))  # one row a site
+    site = sites.select("site_id", "date_order")
     placed = rows.select(clean_key("call_id").alias("call_id"), "site_id", "call_datetime", "loaded_at", "meta_id").where("call_id is not null").join(site, "site_id", "left")
     read = read_moments(placed.withColumn("date_order", F.coalesce("date_order", F.lit("DMY"))), "call_datetime", "date_order", ["call_id", "loaded_at", "meta_id"]).where("local_us is not null")
     day = F.date_format(F.date_from_unix_date(F.floor(F.col("local_us") / DAY_US).cast("int")), "yyyy-MM-dd")

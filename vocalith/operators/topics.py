@@ -119,8 +119,9 @@ def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
     seen = bag.join(F.broadcast(words), "word", "left_semi").select(key, "word").distinct()  # a few words a topic
     n = bag.agg(F.countDistinct(key)).scalar()
     single = seen.groupBy("word").agg(F.count("*").alias("c"))
+    # only pairs that a topic asks for are met
     asked = topics.toDF("topic", "r1", "w1", "x1").drop("x1").join(topics.toDF("topic", "r2", "w2", "x2").drop("x2"), "topic").where("r1 < r2")
-    met = seen.toDF(key, "w1").join(seen.toDF(key, "w2"), key).where("w1 <> w2").groupBy("w1", "w2").agg(F.count("*").alias("c12"))
+    met = seen.toDF(key, "w1").join(asked.select("w1", "w2").distinct(), "w1").join(seen.toDF(key, "w2"), [key, "w2"]).groupBy("w1", "w2").agg(F.count("*").alias("c12"))
     full = asked.join(met, ["w1", "w2"], "left").join(single.toDF("w1", "c1"), "w1").join(single.toDF("w2", "c2"), "w2").withColumn("n", n)
     p12 = F.col("c12") / F.col("n")
     npmi = F.when(F.col("c12").isNull(), -1.0).when(F.col("c12") == F.col("n"), 1.0).otherwise(F.ln(p12 * F.col("n") * F.col("n") / (F.col("c1") * F.col("c2"))) / -F.ln(p12))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,12 +31,13 @@ def manifest(spark: SparkSession, path: str) -> list[str]:
 def recognizer_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """CSVs under each other by column name: each is read by its own header, missing columns are null, all get the declared type.
 
-    Files with one header are read in one scan.
+    The headers of all files are found in one job, over their first blocks; files with one header are read in one scan.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        head = spark.read.text(p).limit(1).collect()
-        groups.setdefault(tuple(c.strip().strip('"') for c in head[0].value.split(",")) if head else (), []).append(p)
+    if paths:
+        lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("i"))
+        for r in lines.groupBy("path").agg(F.min_by("value", "i").alias("head")).orderBy("path").collect():  # a list of files
+            groups.setdefault(tuple(c.strip().strip('"') for c in r.head.split(",")), []).append(unquote(r.path))
     out = None
     for names, group in groups.items():
         if not names:
