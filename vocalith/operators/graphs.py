@@ -7,6 +7,7 @@ edges, bounded by the square of its vocabulary and not by the number of words. W
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -244,11 +245,11 @@ def segment_size(segments: DataFrame, by: str = "chars", text: str = "text") ->
 def graph_features(segments: DataFrame, graphs: dict[str, DataFrame] | None = None, norm_by: str = "chars") -> DataFrame:
     """All graph features of all graphs (name -> tokens (id, ws)), and their normalised twins."""
     graphs = graphs or {"naive": naive_tokens(segments)}
-    out = None
-    for name, tokens in graphs.items():
-        e = edges(tokens)
-        one = graph_counts(e, f"_{name}").join(graph_connectivity(e, f"_{name}"), "id")
-        out = one if out is None else out.join(one, "id")
-    return normalised(out, segment_size(segments, norm_by))
-
-
+    # all graphs go through the same stages, as ids of their own
+    tokens = reduce(DataFrame.unionByName, (t.select(F.concat(F.lit(f"{name}\x01"), F.col("id").cast("string")).alias("id"), "ws") for name, t in graphs.items()))
+    e = edges(tokens)
+    each = graph_counts(e, "").join(graph_connectivity(e, ""), "id")
+    named = each.withColumn("graph", F.substring_index("id", "\x01", 1)).withColumn("id", F.expr("substring(id, length(graph) + 2)"))
+    values = [c for c in each.columns if c != "id"]
+    wide = named.groupBy("id").agg(*(F.max(F.when(F.col("graph") == name, F.col(c))).alias(f"{c}_{name}") for name in graphs for c in values), F.count("*").alias("_n")).where(F.col("_n") == len(graphs)).drop("_n")
+    return normalised(wide, segment_size(segments, norm_by))
