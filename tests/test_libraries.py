@@ -12,6 +12,9 @@ from vocalith.functions.providers import Providers
 from vocalith.plans import pipeline
 
 NLTK = """
+def sent_tokenize(text):
+    return [x.strip() for x in text.split('|') if x.strip()]
+
 def pos_tag_sents(sentences):
     return [[(w, 'VBD' if w.endswith('ed') else 'PRP' if w in ('I', 'i') else 'NN') for w in s] for s in sentences]
 """
@@ -55,6 +58,14 @@ def test_features_with_libraries(spark, installed):
     assert made["verbosity"].first().syll_max == 6.0
 
 
+def test_sentences_of_a_library(spark, installed):
+    """Sentences run over segments where the library leaves the last one open."""
+    rows = [("x", 0, 0, "one two | three", None), ("x", 1, 1, "four. | five", None), ("x", 2, 2, "", None), ("x", 3, 3, None, None)]
+    segments = spark.createDataFrame(rows, "id string, ord bigint, tie bigint, text string, text_basic string")
+    found = pipeline.prepared_sentences(segments, providers=libraries.library_providers()).orderBy("sent_no").collect()
+    assert [r.text.split() for r in found] == [["one", "two"], ["three", "four"], ["five", "nan"]]
+
+
 def test_without_libraries():
     if not any(libraries.available().values()):
         assert libraries.library_providers() == Providers()

@@ -1,4 +1,4 @@
-"""Language models of public libraries as providers: NLTK's tagger and lemmatiser, truecase, textstat.
+"""Language models of public libraries as providers: NLTK's tagger, lemmatiser and sentence splitter, truecase, textstat.
 
 Each is an Arrow UDF that hands a whole batch of sentences to its library; every different sentence or word of a batch is
 asked once. A library and its data have to be installed on all workers; ``available`` says which are.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vocalith.functions.providers import Providers
 
 #: The modules each model needs.
-MODULES = {"tag": "nltk", "lemma": "nltk", "truecase": "truecase", "syllables": "textstat"}
+MODULES = {"tag": "nltk", "lemma": "nltk", "truecase": "truecase", "syllables": "textstat", "sentences": "nltk"}
 #: First letters of Penn tags and the WordNet classes they stand for; all others are nouns.
 WORDNET = {"J": "a", "V": "v", "N": "n", "R": "r"}
 
@@ -79,8 +79,19 @@ def textstat_syllables(word: Column | str) -> Column:
     return F.pandas_udf(count, "bigint")(F.col(word) if isinstance(word, str) else word)
 
 
+def nltk_sentences(text: Column) -> Column:
+    """string -> array<string>: sentences of a segment by the trained Punkt model; an empty text is one empty sentence."""
+
+    def split(batch: pd.Series) -> pd.Series:
+        import nltk
+
+        return pd.Series(_once(batch.tolist(), lambda xs: [nltk.sent_tokenize(x) or [""] for x in xs]), dtype=object)
+
+    return F.pandas_udf(split, "array<string>")(text)
+
+
 def library_providers() -> Providers:
     """Models of the libraries that are there; the rules of ``Providers`` for the others."""
     have = available()
-    chosen = {"tag_all": ("tag", nltk_tags), "lemma_all": ("lemma", nltk_lemmas), "truecase": ("truecase", true_case), "syllables": ("syllables", textstat_syllables)}
+    chosen = {"tag_all": ("tag", nltk_tags), "lemma_all": ("lemma", nltk_lemmas), "truecase": ("truecase", true_case), "syllables": ("syllables", textstat_syllables), "sentences": ("sentences", nltk_sentences)}
     return Providers(**{name: f for name, (model, f) in chosen.items() if have[model]})

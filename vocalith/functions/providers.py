@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.functions.text import syllables
+from vocalith.functions.text import sentences, syllables
 
 #: Closed word classes of English, by Penn tag.
 CLOSED = {
@@ -64,6 +64,7 @@ class Providers:
     lemma: Callable[[Column], Column] = field(default=rule_lemma)
     truecase: Callable[[Column], Column] = field(default=sentence_case)
     syllables: Callable[[Column], Column] = field(default=syllables)
+    sentences: Callable[[Column], Column] = field(default=sentences)
     #: Models that see a whole sentence (array of words in, array out) take the place of those for single words.
     tag_all: Callable[[Column], Column] | None = None
     lemma_all: Callable[[Column], Column] | None = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,14 +84,15 @@ def running_sum(df: DataFrame, keys: list[str], value: str, out: str, last: str
     return placed.withColumn(out, F.col("_start") + F.col("_local")).drop("_bucket", "_local", "_start", *(f"_at_{c}" for c in at))
 
 
-def joined_sentences(segments: DataFrame, text: str = "text", null_text: str = "nan") -> DataFrame:
-    """(id, sent_no, text): the sentences of each id's segments, joined in order with a space.
+def joined_sentences(segments: DataFrame, text: str = "text", null_text: str = "nan", split: Callable[[Column], Column] = sentences) -> DataFrame:
+    """(id, sent_no, text): the sentences of each id's segments, joined in order with a space. ``split`` takes a segment apart.
 
     A sentence may run over several segments. Segments are split where they stand; the pieces of a sentence find each
     other by the number of sentence ends before them, so no group is collected, only a sentence is.
     """
-    pieces = segments.select("id", "ord", "tie", F.posexplode(sentences(text_or_nan(text, null_text))).alias("i", "piece")).where("i = 0 or piece <> ''")
-    marked = pieces.withColumn("closes", F.col("piece").rlike(r"[.!?]$").cast("int"))
+    cut = segments.select("id", "ord", "tie", split(text_or_nan(text, null_text)).alias("_cut"))
+    pieces = cut.select("id", "ord", "tie", (F.size("_cut") - 1).alias("_last"), F.posexplode("_cut").alias("i", "piece")).where("i = 0 or piece <> ''")
+    marked = pieces.withColumn("closes", ((F.col("i") < F.col("_last")) | F.col("piece").rlike(r"[.!?]$")).cast("int")).drop("_last")
     placed = running_sum(marked, ["id"], "closes", "sent_no", "i")
     joined = placed.groupBy("id", "sent_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tie", "i", "piece"))), lambda x: x.piece), " ").alias("text"))
     return joined.withColumn("text", F.when(F.col("sent_no") > 0, F.regexp_replace("text", r"^\s+", "")).otherwise(F.col("text")))

@@ -12,9 +12,9 @@ from vocalith.functions.providers import LEXICON, Providers, categories, lexicon
 from vocalith.operators import features, graphs
 
 
-def prepared_sentences(segments: DataFrame, text: str = "text") -> DataFrame:
+def prepared_sentences(segments: DataFrame, text: str = "text", providers: Providers = Providers()) -> DataFrame:
     """Sentences of the joined text, without punctuation, in lower case."""
-    return tx.joined_sentences(segments, text).withColumn("text", F.lower(tx.clean("text")))
+    return tx.joined_sentences(segments, text, split=providers.sentences).withColumn("text", F.lower(tx.clean("text")))
 
 
 def tagged_tokens(sentences: DataFrame, providers: Providers) -> DataFrame:
@@ -30,16 +30,16 @@ def tagged_tokens(sentences: DataFrame, providers: Providers) -> DataFrame:
 
 
 def pos(segments: DataFrame, providers: Providers = Providers()) -> DataFrame:
-    sentences = prepared_sentences(segments)
+    sentences = prepared_sentences(segments, providers=providers)
     return features.pos_features(tagged_tokens(sentences, providers), sentences.groupBy("id").agg(F.sum(F.size(tx.words("text"))).alias("n")))
 
 
-def liwc(segments: DataFrame, rows=LEXICON) -> DataFrame:
-    return features.liwc(prepared_sentences(segments), lexicon(segments.sparkSession, rows), categories(rows))
+def liwc(segments: DataFrame, rows=LEXICON, providers: Providers = Providers()) -> DataFrame:
+    return features.liwc(prepared_sentences(segments, providers=providers), lexicon(segments.sparkSession, rows), categories(rows))
 
 
 def verbosity(segments: DataFrame, providers: Providers = Providers()) -> DataFrame:
-    return features.verbosity(prepared_sentences(segments), providers.syllables)
+    return features.verbosity(prepared_sentences(segments, providers=providers), providers.syllables)
 
 
 def graph(segments: DataFrame, providers: Providers = Providers(), norm_by: str = "chars", pos_graph_on: str = "lemma") -> DataFrame:
@@ -72,5 +72,5 @@ def extract(segments: DataFrame, names: tuple[str, ...] = DEFAULT, dictionary=LE
     unknown = [n for n in names if n not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown feature sets: {', '.join(unknown)}; there are {', '.join(REGISTRY)}")
-    settings = {"liwc": {"rows": dictionary}, "pos": {"providers": providers}, "graph": {"providers": providers}, "verbosity": {"providers": providers}}
+    settings = {"liwc": {"rows": dictionary, "providers": providers}, "pos": {"providers": providers}, "graph": {"providers": providers}, "verbosity": {"providers": providers}}
     return {n: REGISTRY[n](segments, **settings.get(n, {})) for n in names}
