@@ -364,3 +364,21 @@ def test_loops_from_the_least_vertex(spark):
     l3 = sum(e[a, b] * e[b, c] * e[c, a] for a in nodes for b in nodes for c in nodes if len({a, b, c}) == 3) / 3
     df = spark.createDataFrame([("x", a, b, m) for (a, b), m in e.items() if m] + [("y", "p", None, 2)], "id string, src string, dst string, mult bigint")
     assert {r.id: (r.l2, r.l3) for r in gr.graph_loops(df, "").collect()} == {"x": (l2, l3), "y": (0.0, 0.0)}
+
+
+def test_windows_over_shards(spark, monkeypatch):
+    """A text over many rows and shards has the windows of its joined words."""
+    monkeypatch.setattr(tp, "CV_SHARD", 8)
+    rng = random.Random(23)
+    texts = {k: [[rng.choice("abcde") for _ in range(rng.randrange(0, 7))] for _ in range(n)] for k, n in (("x", 12), ("y", 1), ("z", 2), ("w", 5))}
+    rows = spark.createDataFrame([(k, o, o, ws) for k, parts in texts.items() for o, ws in enumerate(parts)], "id string, ord bigint, tie bigint, ws array<string>")
+    words, size = list("abc"), 5
+    want, whole = Counter(), 0
+    for parts in texts.values():
+        t = [w for p in parts for w in p]
+        for i in range(max(1, len(t) - size + 1)) if t else ():
+            whole += 1
+            held = [k for k, w in enumerate(words) if w in t[i : i + size]]
+            want.update((p, q) for p in held for q in held if p <= q)
+    got = {(r.a, r.b): r.n for r in tp.window_counts(tp.texts_in_shards(rows, size=size), words, size=size).collect()}
+    assert got.pop((None, None)) == whole and got == dict(want)

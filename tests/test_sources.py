@@ -121,3 +121,21 @@ def test_headers_of_many_files(spark, tmp_path):
     (d / "none.csv").write_text("")
     df = files.recognizer_results(spark, [str(p) for p in sorted(d.iterdir())])
     assert sorted((r.audio_file_id, r.segment_number, r.order) for r in df.collect()) == [("c0", 0, None), ("c1", 1, 3), ("c2", 2, None), ("c3", 3, 3)]
+
+
+def test_topics_command(spark, tmp_path, monkeypatch):
+    """Transcripts to the coherence of each number of topics, stop words left out."""
+    from vocalith.operators import topics
+
+    words = ["calm", "call", "nurse", "night", "work", "sleep", "the"]
+    for c in range(12):
+        (tmp_path / "t" / f"c{c}").mkdir(parents=True)
+        for h in ("one", "two"):
+            (tmp_path / "t" / f"c{c}" / f"{h}.txt").write_text("".join(f"a_b_{i}_{i + 1} " + " ".join(words[(c + i + j) % 7] for j in range(5)) + "\n" for i in range(4)))
+    (tmp_path / "stop.txt").write_text("the\n")
+    sweep, trimmed = topics.sweep, topics.trim_vocabulary
+    monkeypatch.setattr(topics, "sweep", lambda bag, texts: sweep(bag, range(2, 4), 2, texts))
+    monkeypatch.setattr(topics, "trim_vocabulary", lambda bag: trimmed(bag, most_share=1.0))
+    cli.main(["topics", "-t", str(tmp_path / "t"), "-o", str(tmp_path), "-w", "5", "-s", str(tmp_path / "stop.txt")])
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/topic_coherence").collect()
+    assert sorted(r.k for r in rows) == ["2", "3"] and all(0 <= float(r.c_v) <= 1 for r in rows)

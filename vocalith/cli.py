@@ -122,9 +122,11 @@ def main(argv: list[str] | None = None) -> None:
         df = transcript_features(rows, _calls(spark, a), a.level, a.feature_type, dictionary=_dictionary(spark, a), providers=_providers(a))
         sinks.write_features(_with_id(df, a.level), a.output_dir, a.feature_type, "parquet")
     else:
-        rows = files.hypotheses(spark, a.transcript_dir).select(F.col("call_id").alias("id"), "hyp_no", tx.words("text").alias("ws"))
-        bag = topics.trim_vocabulary(topics.bag_of_words(topics.corpus(rows, files.stop_words(spark, a.stop_words) if a.stop_words else [], a.min_word_count, rule_lemma)))
-        sinks.write_features(topics.sweep(bag).withColumn("id", F.col("k")), a.output_dir, "topic_coherence")
+        start = F.coalesce(F.try_element_at(F.split("segment_id", "_"), F.lit(-2)).try_cast("bigint"), F.lit(0))
+        rows = files.hypotheses(spark, a.transcript_dir).select(F.col("call_id").alias("id"), "hyp_no", F.col("hyp_no").alias("ord"), start.alias("tie"), tx.words("text").alias("ws"))
+        corpus = topics.corpus(rows, files.stop_words(spark, a.stop_words) if a.stop_words else [], a.min_word_count, rule_lemma)
+        bag = topics.trim_vocabulary(topics.bag_of_words(corpus))
+        sinks.write_features(topics.sweep(bag, texts=topics.texts_in_shards(corpus)).withColumn("id", F.col("k")), a.output_dir, "topic_coherence")
 
 
 if __name__ == "__main__":

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.functions import text as tx
 from vocalith.operators.features import NON_VERBAL
 from vocalith.session import cut_lineage
 
@@ -132,22 +133,39 @@ def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
 CV_WINDOW, CV_EPSILON = 110, 1e-12
 
 
+#: Windows of a text that one row starts.
+CV_SHARD = 16_384
+
+
+def texts_in_shards(rows: DataFrame, tokens: str = "ws", key: str = "id", size: int = CV_WINDOW) -> DataFrame:
+    """(key, shard, tokens): the words of a key's rows (ord, tie, tokens), one after another, in shards that overlap by a window, so that no text is ever one row."""
+    placed = tx.running_sum(rows.where(F.size(tokens) > 0).select(F.col(key).alias("k"), "ord", "tie", tokens, F.size(tokens).alias("n")), ["k"], "n", "start")
+    words = placed.select("k", "start", F.posexplode(tokens).alias("i", "w")).select("k", (F.col("start") + F.col("i")).alias("j"), "w")
+    shard = F.floor(F.col("j") / CV_SHARD)
+    both = F.when((F.pmod("j", F.lit(CV_SHARD)) < size - 1) & (shard > 0), F.array(shard, shard - 1)).otherwise(F.array(shard))
+    held = words.select("k", "j", "w", F.explode(both).alias("shard")).groupBy("k", "shard").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("x"))
+    return held.select(F.col("k").alias(key), "shard", F.transform("x", lambda y: y.w).alias(tokens))
+
+
 def window_counts(rows: DataFrame, words: list[str], tokens: str = "ws", size: int = CV_WINDOW) -> DataFrame:
     """(a, b, n): sliding windows that hold both words, a = b: that word; a and b null: all windows. A text shorter than a window is one.
 
-    Where a word holds is a set of window starts, made per text from its places; texts are counted in batches and only
+    Each row is a text, or a shard of one (``texts_in_shards``). Where a word holds is a set of window starts, made per text from its places; texts are counted in batches and only
     counts of ``words``, a bounded list, leave them.
     """
     number = {w: i for i, w in enumerate(words)}
     schema = "a int, b int, n bigint"
+    shard, limit = (F.col("shard"), CV_SHARD) if "shard" in rows.columns else (F.lit(0).cast("bigint"), 2**62)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, whole = np.zeros((len(words), len(words)), np.int64), 0
         for batch in batches:
-            for ws in batch[tokens]:
+            for shard, ws in zip(batch["shard"], batch[tokens]):
                 if ws is None or not len(ws):
                     continue
-                n = max(1, len(ws) - size + 1)
+                n = min(limit, max(1 if shard == 0 else 0, len(ws) - size + 1))
+                if not n:
+                    continue
                 whole += n
                 places: dict[int, list[int]] = {}
                 for j, w in enumerate(ws):
@@ -166,13 +184,13 @@ def window_counts(rows: DataFrame, words: list[str], tokens: str = "ws", size: i
         a, b = np.nonzero(np.triu(sums))
         yield pd.DataFrame({"a": [*a, None], "b": [*b, None], "n": [*sums[a, b], whole]}).astype({"a": "Int32", "b": "Int32"})
 
-    return rows.select(tokens).mapInPandas(count, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return rows.select(shard.alias("shard"), tokens).mapInPandas(count, schema).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def coherence_cv(topics: DataFrame, rows: DataFrame, tokens: str = "ws", size: int = CV_WINDOW) -> DataFrame:
     """(topic, c_v): mean cosine of each word's vector of normalised mutual information with the sum of the topic's vectors.
 
-    Texts are the rows. Only the topics' words and their counts of pairs, bounded by topics x words squared, come to the driver.
+    Texts are the rows, or shards of texts (``texts_in_shards``). Only the topics' words and their counts of pairs, bounded by topics x words squared, come to the driver.
     """
     listed = {}
     for r in topics.orderBy("topic", "rank").collect():  # a few words a topic
@@ -200,11 +218,15 @@ def coherence_cv(topics: DataFrame, rows: DataFrame, tokens: str = "ws", size: i
     return topics.sparkSession.createDataFrame(out, "topic int, c_v double")
 
 
-def sweep(bag: DataFrame, ks: range = range(2, 40, 5), iterations: int = 5) -> DataFrame:
-    """(k, npmi): mean coherence for each number of topics. Each is taken to its one row before the next, so plans don't add up on the driver."""
+def sweep(bag: DataFrame, ks: range = range(2, 40, 5), iterations: int = 5, texts: DataFrame | None = None) -> DataFrame:
+    """(k, npmi): mean coherence for each number of topics; with ``texts`` (see ``coherence_cv``) c_v instead. Each is taken to its one row before the next, so plans don't add up on the driver."""
     bag = cut_lineage(bag)
+    texts = None if texts is None else cut_lineage(texts)
+    measure = "npmi" if texts is None else "c_v"
     rows = []
     for k in ks:
         model, vocabulary = train_topics(bag, k, iterations)
-        rows.append((k, coherence(topic_words(model, vocabulary), bag).agg(F.avg("npmi")).first()[0]))
-    return bag.sparkSession.createDataFrame(rows, "k int, npmi double")
+        found = topic_words(model, vocabulary)
+        scored = coherence(found, bag) if texts is None else coherence_cv(found, texts)
+        rows.append((k, scored.agg(F.avg(measure)).first()[0]))
+    return bag.sparkSession.createDataFrame(rows, f"k int, {measure} double")

@@ -351,10 +351,11 @@ def topic_coherence(spark, sf):
 
 
 def topic_coherence_cv(spark, sf):
-    """Coherence of the topics' words by their company in sliding windows."""
-    corpus = topics.corpus(_tokens(spark, sf), STOP)
+    """Coherence of the topics' words by their company in sliding windows over each call's words."""
+    rows = _segments(spark, sf).where("text_basic is not null").select("id", "ord", "tie", tx.words("text_basic").alias("ws"))
+    corpus = topics.corpus(rows, STOP)
     model, vocabulary = topics.train_topics(topics.trim_vocabulary(topics.bag_of_words(corpus)), 5)
-    return topics.coherence_cv(topics.topic_words(model, vocabulary), corpus)
+    return topics.coherence_cv(topics.topic_words(model, vocabulary), topics.texts_in_shards(corpus))
 
 
 def topic_sweep(spark, sf):
