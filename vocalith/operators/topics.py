@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions import text as tx
 from vocalith.operators.features import NON_VERBAL
-from vocalith.session import cut_lineage
+from vocalith.session import cut_lineage, drop_shuffles
 
 
 def remove_stop_words(tokens: Column, stop: list[str]) -> Column:
@@ -96,15 +97,29 @@ def corpus(rows: DataFrame, stop: list[str], least: int = 50, lemma: Callable[[C
     return plain if lemma is None else plain.withColumn("ws", F.transform("ws", lemma))
 
 
-def train_topics(bag: DataFrame, k: int, iterations: int = 10, seed: int = 1, key: str = "id"):
-    """(LDA model, vocabulary) of trimmed bags of words, all of whose words count; words are numbered by Spark, counts stay distributed."""
-    from pyspark.ml.clustering import LDA
+@dataclass(frozen=True)
+class Vectors:
+    """Documents as vectors of counts, and the words that their places stand for."""
+
+    features: DataFrame
+    vocabulary: list[str]
+
+
+def vectors(bag: DataFrame, key: str = "id") -> Vectors:
+    """Trimmed bags of words as vectors, made once; all words count, and are numbered by Spark."""
     from pyspark.ml.feature import CountVectorizer
 
     docs = bag.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat("word", F.col("tf").cast("int")))).alias("ws"))
     counted = CountVectorizer(inputCol="ws", outputCol="features", vocabSize=2**31 - 1).fit(docs)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counted.transform(docs))
-    return model, counted.vocabulary
+    return Vectors(cut_lineage(counted.transform(docs).select("features")), counted.vocabulary)
+
+
+def train_topics(bag: DataFrame | Vectors, k: int, iterations: int = 10, seed: int = 1, key: str = "id"):
+    """(LDA model, vocabulary) of trimmed bags of words, or of their ``vectors`` if several models are trained."""
+    from pyspark.ml.clustering import LDA
+
+    made = bag if isinstance(bag, Vectors) else vectors(bag, key)
+    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(made.features), made.vocabulary
 
 
 def topic_words(model, vocabulary: list[str], top: int = 10) -> DataFrame:
@@ -223,10 +238,13 @@ def sweep(bag: DataFrame, ks: range = range(2, 40, 5), iterations: int = 5, text
     bag = cut_lineage(bag)
     texts = None if texts is None else cut_lineage(texts)
     measure = "npmi" if texts is None else "c_v"
+    made = vectors(bag)
     rows = []
     for k in ks:
-        model, vocabulary = train_topics(bag, k, iterations)
+        model, vocabulary = train_topics(made, k, iterations)
         found = topic_words(model, vocabulary)
         scored = coherence(found, bag) if texts is None else coherence_cv(found, texts)
         rows.append((k, scored.agg(F.avg(measure)).first()[0]))
+        del model, found, scored
+        drop_shuffles(bag)  # those of one number of topics, before the next
     return bag.sparkSession.createDataFrame(rows, f"k int, {measure} double")

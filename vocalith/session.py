@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -56,6 +57,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Lets Spark remove shuffle files that nothing refers to any more, which it otherwise does only when the driver's memory fills."""
+    gc.collect()
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as they are now, written to the shared checkpoint folder: what is costly to make is made once and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
