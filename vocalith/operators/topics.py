@@ -130,15 +130,27 @@ def topic_words(model, vocabulary: list[str], top: int = 10) -> DataFrame:
 
 
 def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
-    """(topic, npmi): mean normalised pointwise mutual information of a topic's words over documents. Pairs that never meet count -1."""
-    words = topics.select("word").distinct()
-    seen = bag.join(F.broadcast(words), "word", "left_semi").select(key, "word").distinct()  # a few words a topic
+    """(topic, npmi): mean normalised pointwise mutual information of a topic's words over documents. Pairs that never meet count -1.
+
+    The topics' words are a short list. A document is the set of those that it holds; the pairs that a topic asks for are
+    made in its row and counted before anything is sent.
+    """
+    listed: dict[int, list[str]] = {}
+    for r in topics.select("topic", "rank", "word").orderBy("topic", "rank").collect():  # a few words a topic
+        listed.setdefault(r.topic, []).append(r.word)
+    spark = topics.sparkSession
+    if not listed:
+        return spark.createDataFrame([], "topic int, npmi double")
     n = bag.agg(F.countDistinct(key)).scalar()
-    single = seen.groupBy("word").agg(F.count("*").alias("c"))
-    # only pairs that a topic asks for are met
-    asked = topics.toDF("topic", "r1", "w1", "x1").drop("x1").join(topics.toDF("topic", "r2", "w2", "x2").drop("x2"), "topic").where("r1 < r2")
-    met = seen.toDF(key, "w1").join(asked.select("w1", "w2").distinct(), "w1").join(seen.toDF(key, "w2"), [key, "w2"]).groupBy("w1", "w2").agg(F.count("*").alias("c12"))
-    full = asked.join(met, ["w1", "w2"], "left").join(single.toDF("w1", "c1"), "w1").join(single.toDF("w2", "c2"), "w2").withColumn("n", n)
+    words = sorted({w for ws in listed.values() for w in ws})
+    docs = bag.where(F.col("word").isin(*words)).groupBy(key).agg(F.collect_set("word").alias("ws"))
+    lists = F.array(*(F.struct(F.lit(t).alias("topic"), F.array(*map(F.lit, ws)).alias("asked")) for t, ws in listed.items()))
+    held = docs.select("ws", F.explode(lists).alias("t")).select("t.topic", F.array_intersect("t.asked", "ws").alias("p"))
+    both = F.expr("flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> named_struct('w1', x, 'w2', y))))")
+    met = held.select("topic", F.explode(both).alias("x")).groupBy("topic", F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2")).agg(F.count("*").alias("c12"))
+    single = docs.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    asked = spark.createDataFrame([(t, x, y) for t, ws in listed.items() for i, x in enumerate(ws) for y in ws[i + 1 :]], "topic int, w1 string, w2 string")
+    full = asked.join(met, ["topic", "w1", "w2"], "left").join(single.toDF("w1", "c1"), "w1").join(single.toDF("w2", "c2"), "w2").withColumn("n", n)
     p12 = F.col("c12") / F.col("n")
     npmi = F.when(F.col("c12").isNull(), -1.0).when(F.col("c12") == F.col("n"), 1.0).otherwise(F.ln(p12 * F.col("n") * F.col("n") / (F.col("c1") * F.col("c2"))) / -F.ln(p12))
     return full.groupBy("topic").agg(F.avg(npmi).alias("npmi"))
