@@ -143,13 +143,15 @@ def coherence(topics: DataFrame, bag: DataFrame, key: str = "id") -> DataFrame:
         return spark.createDataFrame([], "topic int, npmi double")
     n = bag.agg(F.countDistinct(key)).scalar()
     words = sorted({w for ws in listed.values() for w in ws})
-    docs = bag.where(F.col("word").isin(*words)).groupBy(key).agg(F.collect_set("word").alias("ws"))
-    lists = F.array(*(F.struct(F.lit(t).alias("topic"), F.array(*map(F.lit, ws)).alias("asked")) for t, ws in listed.items()))
+    number = {w: i for i, w in enumerate(words)}
+    names = spark.createDataFrame(list(number.items()), "word string, w int")
+    docs = bag.join(names, "word").groupBy(key).agg(F.collect_set("w").alias("ws"))
+    lists = F.array(*(F.struct(F.lit(t).alias("topic"), F.array(*(F.lit(number[w]) for w in ws)).alias("asked")) for t, ws in listed.items()))
     held = docs.select("ws", F.explode(lists).alias("t")).select("t.topic", F.array_intersect("t.asked", "ws").alias("p"))
     both = F.expr("flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> named_struct('w1', x, 'w2', y))))")
     met = held.select("topic", F.explode(both).alias("x")).groupBy("topic", F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2")).agg(F.count("*").alias("c12"))
-    single = docs.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    asked = spark.createDataFrame([(t, x, y) for t, ws in listed.items() for i, x in enumerate(ws) for y in ws[i + 1 :]], "topic int, w1 string, w2 string")
+    single = docs.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    asked = spark.createDataFrame([(t, number[x], number[y]) for t, ws in listed.items() for i, x in enumerate(ws) for y in ws[i + 1 :]], "topic int, w1 int, w2 int")
     full = asked.join(met, ["topic", "w1", "w2"], "left").join(single.toDF("w1", "c1"), "w1").join(single.toDF("w2", "c2"), "w2").withColumn("n", n)
     p12 = F.col("c12") / F.col("n")
     npmi = F.when(F.col("c12").isNull(), -1.0).when(F.col("c12") == F.col("n"), 1.0).otherwise(F.ln(p12 * F.col("n") * F.col("n") / (F.col("c1") * F.col("c2"))) / -F.ln(p12))
