@@ -247,6 +247,19 @@ def test_means_of_scores_are_exact(spark):
         assert ft.confidence(rows.repartition(n), ["id"]).first().conf_mean == mean
 
 
+def test_means_of_scores_are_rounded_once(spark):
+    """The sum of forty scores divided in doubles is 0.83985749...; small and large means keep all digits, no values have none."""
+    from fractions import Fraction
+
+    from vocalith.functions.stats import describe5
+
+    groups = {"tie": [0.84] * 39 + [0.8343], "small": [1e-10, 0.0, 0.0], "large": [9e16, 8e16, 1.5], "negative": [-0.84] * 39 + [-0.8343]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "id string, confidence double")
+    got = {r.id: r.conf_mean for r in ft.confidence(rows, ["id"]).collect()}
+    assert got == {k: float(sum(map(Fraction, map(str, vs))) / len(vs)) for k, vs in groups.items()}
+    assert rows.groupBy("id").agg(*describe5(F.col("confidence"), "c", when=F.lit(False), exact=18)).where("c_mean is null").count() == len(groups)
+
+
 def test_paths_in_batches_and_parts(spark, monkeypatch):
     """Walks in many small batches, and an id that is split over tasks, give what plain breadth-first search gives."""
     from collections import deque

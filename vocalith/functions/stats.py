@@ -17,15 +17,22 @@ def describe5(value: Column, prefix: str, when: Column | None = None, names: tup
     The median interpolates between the middle values. It keeps a counter per distinct value of a group;
     ``approximate`` bounds that for groups with very many distinct values. ``unit`` is applied to the results, so that sums
     of whole numbers stay exact. With ``exact`` the mean is that of decimals with so many places after the point (values
-    from -10^17 to 10^17), summed exactly: it doesn't depend on the order of rows.
+    from -10^17 to 10^17), summed exactly: it doesn't depend on the order of rows. It is rounded once: a quotient of doubles
+    may fall below a mean that ends in a 5.
     """
     v = value if when is None else F.when(when, value)
     median = F.percentile_approx(v, 0.5, 10_000).cast("double") if approximate else F.percentile(v.cast("double"), 0.5)
-    mean = F.avg(v) if exact is None else F.sum(v.cast(f"decimal({18 + exact},{exact})")).cast("double") / F.count(v)
+    mean = F.avg(v) if exact is None else _decimal_mean(v, exact)
     columns = (F.max(v), F.min(v), mean, median, F.stddev_pop(v))
     return [(c.cast("double") if unit is None else c.cast("double") * unit).alias(f"{prefix}_{n}") for c, n in zip(columns, names)]
 
 
+def _decimal_mean(v: Column, places: int) -> Column:
+    """Sum and quotient in decimals; sums below 10^10 leave ten more places to the quotient, so that small means keep their digits."""
+    total, n = F.sum(v.cast(f"decimal({18 + places},{places})")), F.count(v)
+    return F.coalesce((total.try_cast(f"decimal({10 + places},{places})") / n).cast("double"), (total / n).cast("double"))
+
+
 #: Groups of up to so many rows are settled by one aggregate.
 SMALL = 100_000
 #: Half the width, in shares of a group, of the range that is sure to hold its median: twice the error of the sketch that finds it.
